@@ -41,7 +41,7 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 def registered_domain(host: Column) -> Column:
     """Last two labels; last three under a two-letter country code with a generic second level."""
     three = host.rlike(r"(^|\.)(ac|co|com|edu|gov|net|or|org)\.[a-z]{2}$")
-    return F.substring_index(host, ".", F.when(three, -3).otherwise(-2))
+    return F.when(three, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def host_reputation(hosts: DataFrame, least: float = 0.5, z: float = 1.645, start: tuple[float, float] = (0.8, 4.0), strength: tuple[float, float] = (2.0, 1000.0)) -> DataFrame:
