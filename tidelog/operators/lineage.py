@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
+from tidelog.sources.shared import cut
 
 
 def ancestry(streams: DataFrame, depth: int = 64) -> DataFrame:
@@ -14,12 +14,13 @@ def ancestry(streams: DataFrame, depth: int = 64) -> DataFrame:
     streams: stream_id, forked_from, fork_offset. The cap of an ancestor is the least fork offset on the way. Paths
     double at every step, so a chain of length L takes log2 L joins; missing ancestors give nothing.
     """
+    streams = cut(streams.select("stream_id", "forked_from", "fork_offset"), "streams")
     edge = streams.where("forked_from is not null").select(F.col("stream_id").alias("leaf"), F.col("forked_from").alias("ancestor"), F.col("fork_offset").alias("hi"), F.lit(1).alias("depth"))
     paths, reach = edge, 1
     while reach < depth:
         ahead = paths.where(F.col("depth") <= reach)
         tail = ahead.select(F.col("leaf").alias("l2"), F.col("ancestor").alias("a2"), F.col("hi").alias("h2"), F.col("depth").alias("d2"))
-        longer = paths.where(F.col("depth") == reach).join(tail, F.col("ancestor") == F.col("l2")).select("leaf", F.col("a2").alias("ancestor"), F.least("hi", "h2").alias("hi"), (F.col("depth") + F.col("d2")).alias("depth"))
+        longer = cut(paths.where(F.col("depth") == reach).join(tail, F.col("ancestor") == F.col("l2")).select("leaf", F.col("a2").alias("ancestor"), F.least("hi", "h2").alias("hi"), (F.col("depth") + F.col("d2")).alias("depth")), "paths")
         if longer.isEmpty():
             break
         paths = paths.unionByName(longer)

@@ -147,7 +147,7 @@ def message_batches_text(spark, d):
     return c.select("conv_id", F.array_join(F.col("m.text"), "").alias("body"))
 
 
-@query("""SELECT conv_id, CAST(sum(octet_length(CAST(coalesce(text,'') AS BLOB))) AS BIGINT) AS bytes FROM (SELECT conv_id, replace(text,'\\','/') AS text FROM conversations) GROUP BY 1""")
+@query("SELECT conv_id, CAST(sum(octet_length(encode(coalesce(text,'')))) AS BIGINT) AS bytes FROM conversations GROUP BY 1")
 def batch_bytes_len(spark, d):
     c = fx.table(spark, d, "conversations").withColumn("b", F.coalesce("text", F.lit("")).cast("binary")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "b"))).alias("m"))
     return c.select("conv_id", F.octet_length(media.bytes_body(F.col("m.b"))).cast("long").alias("bytes"))
@@ -257,7 +257,7 @@ def config_match(spark, d):
 # -- lineage -------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {FOREST} SELECT leaf AS stream_id, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, max(at) AS last FROM anc JOIN m ON m.id=anc.a AND (hi IS NULL OR at<=hi) GROUP BY 1")
+@query(f"WITH {FOREST} SELECT leaf AS stream_id, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, max(place) AS last FROM anc JOIN m ON m.id=anc.a AND (hi IS NULL OR place<=hi) GROUP BY 1")
 def fork_chain_read(spark, d):
     f = fx.forest(spark, d)
     got = lineage.chain_read(fx.forest_messages(spark, d, f), f)
@@ -292,8 +292,8 @@ def fork_expiry_inherit(spark, d):
     return fx.table(spark, d, "orders").select("o_orderkey", ttl.alias("ttl"), at.alias("expires_at"))
 
 
-@query(f"""WITH {STREAMS}, r AS (SELECT o_orderkey, 'user/'||(o_custkey%200) AS src, CASE WHEN o_orderkey%10=0 THEN 'a=b' ELSE {off_sql("o_orderkey%120")} END AS at FROM orders)
- SELECT o_orderkey, CASE WHEN s.stream_id IS NULL THEN 'not-found' WHEN s.soft_deleted THEN 'conflict' WHEN o_orderkey%10=0 OR at>current_offset THEN 'bad-request' ELSE 'created' END AS status FROM r LEFT JOIN streams s ON r.src=s.stream_id""")
+@query(f"""WITH {STREAMS}, r AS (SELECT o_orderkey, 'user/'||(o_custkey%200) AS src, CASE WHEN o_orderkey%10=0 THEN 'a=b' ELSE {off_sql("o_orderkey%120")} END AS wanted FROM orders)
+ SELECT o_orderkey, CASE WHEN s.stream_id IS NULL THEN 'not-found' WHEN s.soft_deleted THEN 'conflict' WHEN o_orderkey%10=0 OR wanted>current_offset THEN 'bad-request' ELSE 'created' END AS status FROM r LEFT JOIN streams s ON r.src=s.stream_id""")
 def fork_validate(spark, d):
     o = fx.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("user/"), F.col("o_custkey") % 200).alias("src"), F.when(F.col("o_orderkey") % 10 == 0, "a=b").otherwise(offsets.default_offset(F.col("o_orderkey") % 120)).alias("at"))
     j = o.join(fx.streams(spark, d).select("stream_id", "soft_deleted", "current_offset"), F.col("src") == F.col("stream_id"), "left")
@@ -337,8 +337,8 @@ def expired_as_of(spark, d):
     return fx.table(spark, d, "orders").select("o_orderkey", expiry.expired(at, _NOW).alias("expired"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT o_custkey AS c, epoch_ms(o_orderdate) AS at, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
- r AS (SELECT c, k, at+(c%400+30)*CAST(86400000 AS BIGINT) AS x FROM o WHERE k=1 UNION ALL SELECT o.c, o.k, o.at+(o.c%400+30)*CAST(86400000 AS BIGINT) FROM r JOIN o ON o.c=r.c AND o.k=r.k+1 AND o.at<r.x)
+@query("""WITH RECURSIVE o AS (SELECT o_custkey AS c, epoch_ms(o_orderdate) AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
+ r AS (SELECT c, k, t+(c%400+30)*CAST(86400000 AS BIGINT) AS x FROM o WHERE k=1 UNION ALL SELECT o.c, o.k, o.t+(o.c%400+30)*CAST(86400000 AS BIGINT) FROM r JOIN o ON o.c=r.c AND o.k=r.k+1 AND o.t<r.x)
  SELECT c AS stream_id, max(x) AS expires_at_ms FROM r GROUP BY 1""")
 def sliding_ttl(spark, d):
     o = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("stream_id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("at_ms"))
@@ -465,7 +465,7 @@ def topn_enter_exit(spark, d):
 # -- JSON lines ----------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {MESSAGES} SELECT stream_id, \"offset\", \"timestamp\", CASE WHEN event_id%6=0 THEN 'text '||props ELSE data END AS data FROM messages")
+@query(f"WITH {MESSAGES} SELECT stream_id, \"offset\", \"timestamp\", CASE WHEN event_id%6=0 THEN 'text '||props WHEN event_id%2=0 THEN replace(data,'\": ','\":') ELSE data END AS data FROM messages")
 def jsonl_roundtrip(spark, d):
     m = fx.messages(spark, d)
     m = m.withColumn("data", F.when(F.col("event_id") % 6 == 0, F.concat(F.lit("text "), "props")).otherwise(F.col("data"))).withColumn("json_stream", F.col("event_id") % 2 == 0)
@@ -474,7 +474,7 @@ def jsonl_roundtrip(spark, d):
 
 
 @query(f"""WITH {MESSAGES}, {STREAMS}, l AS (SELECT stream_id, {off_sql("(arrival+1)//2")} AS "offset", data, arrival FROM messages WHERE event_id%19<>0),
- w AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY stream_id, "offset" ORDER BY arrival DESC)=1) SELECT w.stream_id, w."offset", w.data FROM w JOIN streams s USING(stream_id) WHERE w."offset"<=s.current_offset""")
+ w AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY stream_id, "offset" ORDER BY arrival DESC)=1) SELECT w.stream_id, w."offset", replace(w.data,'": ','":') AS data FROM w JOIN streams s USING(stream_id) WHERE w."offset"<=s.current_offset""")
 def jsonl_tail_guard(spark, d):
     m = fx.messages(spark, d).withColumn("offset", offsets.default_offset(F.floor((F.col("arrival") + 1) / 2)))
     lines = jsonl.encode(m.withColumn("json_stream", F.lit(True)))

@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.offsets import default_offset
+from tidelog.sources.shared import shared_path  # noqa: F401
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; a local folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/tidelog"
-    return f"{base.rstrip('/')}/tidelog-plans/{uuid.uuid4().hex}/{name}"
-
-
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -37,7 +30,7 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
     ).withColumn("offset", default_offset(F.col("arrival")))
 
 
-MESSAGES = """msg AS (SELECT 'user/'||user_id AS stream_id, user_id, event_id, event_type, value, props, epoch_ms(ts) AS "timestamp",
+MESSAGES = """msg AS (SELECT 'user/'||user_id AS stream_id, user_id, event_id, event_type, value, props, epoch_us(ts)//1000 AS "timestamp",
  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS arrival, '{"type":"'||event_type||'","p":'||props||'}' AS data FROM events),
 messages AS (SELECT *, lpad(CAST(arrival AS VARCHAR),16,'0')||'_0000000000000000' AS "offset" FROM msg)"""
 
@@ -139,7 +132,7 @@ FOREST = """RECURSIVE n AS (SELECT c_custkey AS c, (SELECT count(*) FROM orders
 f AS (SELECT c AS id, CAST(NULL AS BIGINT) AS p, n, CAST(NULL AS BIGINT) AS fo, n AS tail FROM n WHERE c<2
  UNION ALL SELECT n.c, f.id, n.n, f.tail*(n.c%5)//4, f.tail*(n.c%5)//4+n.n FROM n JOIN f ON n.c//2=f.id WHERE n.c>=2),
 own AS (SELECT o_custkey AS id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
-m AS (SELECT own.id, o_orderkey, coalesce(fo,0)+k AS at FROM own JOIN f ON own.id=f.id),
+m AS (SELECT own.id, o_orderkey, coalesce(fo,0)+k AS place FROM own JOIN f ON own.id=f.id),
 anc AS (SELECT id AS leaf, id AS a, CAST(NULL AS BIGINT) AS hi, 0 AS depth FROM f
  UNION ALL SELECT anc.leaf, f.p, least(coalesce(anc.hi,f.fo), f.fo), anc.depth+1 FROM anc JOIN f ON anc.a=f.id WHERE f.p IS NOT NULL)"""
 
