@@ -100,7 +100,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
     return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
 
 
-def _patterns(sizes: list[int], demand: list[int], capacity: int, rounds: int = 300) -> list[tuple[tuple[int, ...], int]]:
+def _patterns(sizes: list[int], demand: list[int], capacity: int, rounds: int = 600) -> list[tuple[tuple[int, ...], int]]:
     """Configurations (count per size, how many sequences) by column generation; the rest of each demand stays open."""
     m = len(sizes)
     size, d = np.array(sizes), np.array(demand, float)
@@ -108,21 +108,27 @@ def _patterns(sizes: list[int], demand: list[int], capacity: int, rounds: int =
     for _ in range(rounds):
         inv = np.linalg.inv(basis)
         dual = np.ones(m) @ inv
-        best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(int(size.min()), capacity + 1):  # unbounded knapsack over the duals
-            fits = size <= c
-            v = np.where(fits, dual + best[np.maximum(c - size, 0)], -1.0)
-            k = int(v.argmax())
-            best[c], pick[c] = (v[k], k) if v[k] > best[c - 1] else (best[c - 1], -2)
-        if best[capacity] <= 1 + 1e-6:
+        # knapsack over the duals in layers: layer k has the best value of exactly k pieces within each room
+        layer, picks = np.zeros(capacity + 1), []
+        top, col = (0.0, None), np.zeros(m)
+        for _ in range(capacity // int(size.min())):
+            nxt, pick = np.full(capacity + 1, -np.inf), np.full(capacity + 1, -1)
+            for k in np.flatnonzero(dual > 1e-12).tolist():
+                v = layer[: capacity + 1 - sizes[k]] + dual[k]
+                better = v > nxt[sizes[k] :]
+                nxt[sizes[k] :][better] = v[better]
+                pick[sizes[k] :][better] = k
+            picks.append(pick)
+            layer = nxt
+            if layer[capacity] > top[0] + 1e-12:
+                top = (float(layer[capacity]), len(picks))
+        if top[0] <= 1 + 1e-6:
             break
-        col, c = np.zeros(m), capacity
-        while c > 0 and pick[c] != -1:
-            if pick[c] == -2:
-                c -= 1
-            else:
-                col[pick[c]] += 1
-                c -= size[pick[c]]
+        room = capacity
+        for pick in reversed(picks[: top[1]]):
+            k = int(pick[room])
+            col[k] += 1
+            room -= sizes[k]
         x, step = inv @ d, inv @ col
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(step > 1e-9, x / step, np.inf)
@@ -131,7 +137,7 @@ def _patterns(sizes: list[int], demand: list[int], capacity: int, rounds: int =
     return [(tuple(int(v) for v in basis[:, j]), int(np.floor(x[j] + 1e-9))) for j in range(m) if x[j] >= 1]
 
 
-def plan_packing(hist: dict[int, int], capacity: int = CAPACITY, large: int | None = None, groups: int = 24) -> list[tuple[int, int, int, int, int]]:
+def plan_packing(hist: dict[int, int], capacity: int = CAPACITY, large: int | None = None, groups: int = 64) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first rank, number, first sequence, offset): ranks r of a length go to consecutive sequences."""
     large = capacity // 8 if large is None else large
     left = {k: v for k, v in hist.items() if v}
@@ -220,13 +226,19 @@ def plan_packing(hist: dict[int, int], capacity: int = CAPACITY, large: int | No
     return runs
 
 
+def best_plan(hist: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = (24, 64)) -> list[tuple[int, int, int, int, int]]:
+    """The plan with fewest sequences over some numbers of groups: few leave slack for small lengths, many cut the rounding."""
+    plans = [plan_packing(hist, capacity, groups=g) for g in groups]
+    return min(plans, key=lambda runs: max((first + n for _, _, n, first, _ in runs), default=0))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset. Ranks within a length come from salted counts, so a hot length spreads over tasks."""
     spark = pieces.sparkSession
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
     cells = stage(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")  # at most capacity * SALTS rows
     hist = {int(r["length"]): int(r["n"]) for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs = plan_packing(hist, capacity)
+    runs = best_plan(hist, capacity)
     ahead = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     ahead_of = cells.select("length", "salt", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
