@@ -121,8 +121,8 @@ def test_packing_plan_is_tight():
 
 def test_special_tokens_inside_words_keep_their_ids():
     tok = packing._tokenizer(packing.default_vocabulary())
-    for text in ("a<|endoftext|>b <|endoftext|> c", "it's DON'T co-op 3rd", "é é é  x\u2003y\x1cz!", "Σας ΣΑΣ"):
-        assert packing.word_ids(text.encode(), tok) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    for text in ("a<|endoftext|>b <|endoftext|> c", "it's DON'T co-op 3rd", "é é é  x\u2003y\x1cz!", "Σας ΣΑΣ", "½² a1b2 --!?[]{}|~^`@\\ (x),;:y =z <b> &amp;", "ſtraſse ﬁn ÀÉ ŉİ"):
+        assert next(packing.batch_ids([text.encode()], tok)) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_quality_rules(spark, rows, fixture_dir):

@@ -14,6 +14,7 @@ kept; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,11 +27,16 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import stage, table
 
 CAPACITY = 4096
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 SALTS = 64
 _cache: dict[bytes, bytes] = {}
+_old: dict[bytes, bytes] = {}
 _loaded: dict[str, object] = {}
-_MARK = "<|endoftext|>"
+_pieces: dict[str, bytes] = {}
+_old_pieces: dict[str, bytes] = {}
+_LETTERS, _POINTS = "A-Za-zÀ-ÖØ-öø-įı-ž", r"!-&(-/:;=?-@\[-`{-~"
+_PLAIN = re.compile(f"[{_LETTERS}{_POINTS}]+")
+_PIECE = re.compile(f"[{_LETTERS}]+|[{_POINTS}]+|\n")
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -44,41 +50,80 @@ def _tokenizer(path: str):
     if path not in _loaded:
         from tokenizers import Tokenizer
 
-        _loaded.clear()
-        _cache.clear()
+        for kept in (_loaded, _cache, _old, _pieces, _old_pieces):
+            kept.clear()
         _loaded[path] = Tokenizer.from_file(path)
     return _loaded[path]
 
 
+def _ends(tok) -> np.ndarray:
+    """Which ids end a pre-token."""
+    if "ends" not in _loaded:
+        vocab = tok.get_vocab(with_added_tokens=True)
+        flags = np.zeros(max(vocab.values()) + 1, bool)
+        flags[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        _loaded["ends"] = flags
+    return _loaded["ends"]
+
+
 def _fill_cache(tok, new: list[bytes]) -> None:
-    """Ids of words not seen yet: one call over all of them, kept apart by a special token."""
-    mark = tok.token_to_id(_MARK)
-    plain = [w for w in new if b"<|" not in w]
-    if plain and mark is not None:
-        ids = np.array(tok.encode(_MARK.join(w.decode() for w in plain), add_special_tokens=False).ids, np.uint32)
-        cuts = np.concatenate([[-1], np.flatnonzero(ids == mark), [len(ids)]])
-        if len(cuts) == len(plain) + 1:
-            raw = ids.astype("<u4").tobytes()
-            for w, a, b in zip(plain, (cuts[:-1] + 1).tolist(), cuts[1:].tolist(), strict=True):
-                _cache[w] = raw[4 * a : 4 * b]
-    for w in new:
-        if w not in _cache:
-            _cache[w] = np.array(tok.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-
-def word_ids(text: bytes, tok) -> bytes:
-    """Ids of a text as little-endian 32-bit numbers. The tokenizer drops white space, so words are independent."""
-    words = text.split()
-    got = list(map(_cache.get, words))
-    if None in got:
-        if len(_cache) > CACHE_WORDS:
-            _cache.clear()
-            new = list(dict.fromkeys(words))
+    """Ids of words not seen yet.
+
+    Words of Latin letters and plain punctuation are cut into the tokenizer's pre-tokens here (for them, NFC and lower
+    case leave no choice), because far fewer of these are new; new ones go through the tokenizer in one call. All
+    other words go through it one by one.
+    """
+    plain = []
+    for w, s in zip(new, b"\n".join(new).decode().split("\n"), strict=True):
+        if _PLAIN.fullmatch(s):
+            plain.append((w, s))
+        else:
+            _cache[w] = np.array(tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+    if not plain:
+        return
+    cut = _PIECE.findall("\n".join([s for _, s in plain]).lower())
+    unknown = _recall(set(cut), _pieces, _old_pieces)
+    if unknown:
+        unknown = list(unknown)
+        ids = np.array(tok.encode(" ".join(unknown), add_special_tokens=False).ids, "<u4")
+        last = np.flatnonzero(_ends(tok)[ids])
+        if len(last) == len(unknown):
+            raw = ids.tobytes()
+            at = [0, *(4 * (last + 1)).tolist()]
+            _pieces.update((p, raw[x:y]) for p, x, y in zip(unknown, at, at[1:], strict=False))
         else:
-            new = list(dict.fromkeys(w for w, x in zip(words, got, strict=True) if x is None))
-        _fill_cache(tok, new)
-        got = [_cache[w] for w in words]
-    return b"".join(got)
+            _pieces.update((p, np.array(tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes()) for p in unknown)
+    # no id has a high byte, so four of them mark the ends of words
+    _pieces["\n"] = b"\xff\xff\xff\xff"
+    _cache.update(zip([w for w, _ in plain], b"".join(map(_pieces.__getitem__, cut)).split(b"\xff\xff\xff\xff"), strict=True))
+
+
+def _recall(wanted: set, young: dict, old: dict) -> set:
+    """What neither generation of a cache has. A full young generation becomes the old one; what is used is kept."""
+    if len(young) > CACHE_WORDS:
+        old.clear()
+        old.update(young)
+        young.clear()
+    wanted = wanted.difference(young)
+    known = wanted.intersection(old)
+    young.update((k, old[k]) for k in known)
+    wanted -= known
+    wanted.discard("\n")
+    return wanted
+
+
+def batch_ids(texts: list[bytes], tok) -> Iterator[bytes]:
+    """Ids of texts as little-endian 32-bit numbers. The tokenizer drops white space, so words are independent.
+
+    New words of all texts are looked up together, in caches of two bounded generations.
+    """
+    split = [t.split() for t in texts]
+    new = _recall(set().union(*split), _cache, _old)
+    if new:
+        _fill_cache(tok, list(new))
+    get = _cache.__getitem__
+    for words in split:
+        yield b"".join(map(get, words))
 
 
 def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, closing: int = 1) -> DataFrame:
@@ -88,9 +133,9 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
         tok = _tokenizer(vocabulary)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            texts = batch.column(1).cast(pa.large_binary())
-            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                raw = word_ids(text.as_py() or b"", tok) + end
+            ids = (raw for i in range(0, batch.num_rows, 512) for raw in batch_ids(batch.column(1).slice(i, 512).cast(pa.binary()).fill_null(b"").to_pylist(), tok))
+            for doc, raw in zip(batch.column(0).to_pylist(), ids, strict=True):
+                raw += end
                 for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     for col, v in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
