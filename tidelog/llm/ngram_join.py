@@ -3,7 +3,8 @@
 1. Documents with equal n-gram sets collapse into classes, classes with equal prefix and size into groups. A prefix is
    the first n - ceil(t n) + 1 n-grams in one order for all: frequent ones last (frequencies of all documents, counted
    in a sketch of bounded size; they only steer the order), then by hash. Sets as similar as t share a prefix n-gram.
-2. An n-gram that stands in the prefix of one group only is dropped (one shuffle of packed fingerprints).
+2. A group drops the n-grams of its prefix that no other group of possible size has (one shuffle of packed
+   fingerprints).
 3. Members of the groups left meet per n-gram. Pairs are filtered by size and by parity bitmaps: the bits in which
    two bitmaps differ are never more than the n-grams in which the sets differ, so no similar pair is lost.
 4. Round one takes, of each large bucket, each member's pair with the bucket's first member and with its nearest
@@ -111,19 +112,38 @@ def prefix_sets(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, _SETS)
 
 
-def _prefix_rows(parts: int, buckets: int):
+def _prefix_rows(parts: int):
+    """Packed (n-gram, group, size) of all prefixes, by part of the hash space."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0)).astype(np.int64)
+            ids, sizes = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 2))
             lists = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
             if not lists:
                 continue
-            h, d = np.concatenate(lists), np.repeat(ids, [len(x) for x in lists])
-            order, first = sd._firsts(h, np.zeros(len(h), np.uint16), d)
-            h, d = h[order], d[order]
-            keep = first | np.append(first[1:], True)
-            part = np.where(keep, (h % np.uint64(parts)).astype(np.int64), parts + d % buckets)
-            yield sd._batch(list(sd._split(part, h, d, np.zeros(len(h), np.uint16))))
+            times = [len(x) for x in lists]
+            h = np.concatenate(lists)
+            yield sd._batch(list(sd._split((h % np.uint64(parts)).astype(np.int64), h, np.repeat(ids, times), np.repeat(sizes, times).astype(np.uint32))))
+
+    return run
+
+
+def _shared_tokens(buckets: int, percent: int):
+    """Groups per n-gram that have another group of possible size beside them (nearest in size order)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(sd._unplanes(h, np.uint64), sd._unplanes(d, np.int64), sd._unplanes(x, np.uint32)) for batch in batches for h, d, x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        if not got:
+            return
+        h, d, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        n = n.astype(np.int64)
+        order = np.lexsort((d, n, h))
+        h, d, n = h[order], d[order], n[order]
+        near = (h[1:] == h[:-1]) & (100 * n[:-1] >= percent * n[1:])
+        use = np.append(near, False) | np.append(False, near)
+        h, d = h[use], d[use]
+        if len(h):
+            yield sd._batch([(g, x, y, b"") for g, x, y, _ in sd._split(d % buckets, h, d, np.zeros(len(h), np.uint16))])
 
     return run
 
@@ -293,7 +313,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select("doc_id", "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.count()
-    width = 1 << min(22, max(14, int(rows).bit_length()))
+    width = 1 << min(22, max(14, int(rows).bit_length() + 2))
     sets = stage(prefix_sets(docs, k, percent, _frequency_sketch(docs, k, width)), "sets")
     real = sets.where("n > 0 and doc_id is not null")
     classes = stage(real.groupBy("n", "s1", "s2", "prefix_hash").agg(F.min("doc_id").alias("cid")), "classes")
@@ -302,8 +322,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = classes.join(groups, ["n", "prefix_hash"]).select("cid", "gid", "s1", "s2", "n")
     members = stage(sets.join(members.select(F.col("cid").alias("doc_id"), "gid", "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"]).select("doc_id", "n", "gid", "bitmap", F.when(F.col("doc_id") == F.col("gid"), F.col("prefix")).alias("prefix")), "members")
     parts, buckets = 2 * n, max(n, rows // sd.DOCS_PER_BUCKET)
-    prefixes = members.where("prefix is not null").select("doc_id", "prefix").mapInArrow(_prefix_rows(parts, buckets), sd._ROWS)
-    shared = stage(prefixes.repartition(n, "part").mapInArrow(lambda it: sd._marks(it, parts, buckets, True), sd._ROWS), "shared")
+    prefixes = members.where("prefix is not null").select("doc_id", "prefix", "n").mapInArrow(_prefix_rows(parts), sd._ROWS)
+    shared = stage(prefixes.repartition(n, "part").mapInArrow(_shared_tokens(buckets, percent), sd._ROWS), "shared")
     bucketed = members.drop("prefix").withColumn("part", F.pmod("gid", F.lit(buckets)).cast("int"))
     entries = bucketed.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_entries, _ENTRY)
     one = stage(entries.repartition(n, "token").mapInArrow(_round_one(percent), _ENTRY), "round1")
