@@ -70,6 +70,7 @@ def brute_components(rows, k, percent):
 
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80), (2, 50)])
 def test_ngram_join(spark, rows, docs, k, percent, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LONG", 60)
     monkeypatch.setattr(ngram_join, "NEAR", 3)  # so that large buckets and the second round take part
     sets, comp = brute_components(rows, k, percent)
     got = ngram_join.near_duplicates(docs, k, percent).collect()

@@ -9,7 +9,8 @@
    two bitmaps differ are never more than the n-grams in which the sets differ, so no similar pair is lost.
 4. Round one takes, of each large bucket, each member's pair with the bucket's first member and with its nearest
    neighbour in size order (small buckets: all pairs). Verified links join components; round two takes only pairs
-   that lie in different components. All pairs are verified on the whole texts.
+   that lie in different components. Pairs of long texts
+   pass wider bitmaps first; then all are verified on the whole texts.
 
 Defined cases: a null or empty text has an empty set and links with nothing; fewer words than n: the whole sequence is
 the one n-gram; a null doc_id links with nothing and keeps a null component; rows with one doc_id are one node;
@@ -31,8 +32,9 @@ from tidelog.llm.common import component_labels, stage, table
 from tidelog.llm.wordscan import mix64
 
 BITS, NEAR = 1024, 16
+LONG = 1024
 BROADCAST_IDS = 2_000_000
-_SETS = "doc_id long, n long, s1 long, s2 long, prefix_hash long, bitmap binary, prefix binary"
+_SETS = "doc_id long, n long, s1 long, s2 long, prefix_hash long, bitmap binary, prefix binary, wide binary"
 _ENTRY = "a long, b long, token long, n int, bitmap binary"
 
 
@@ -103,10 +105,15 @@ def prefix_sets(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Da
                 np.add.at(ph, r[inside], mix64(g[inside] ^ np.uint64(3)))
                 bits = np.bincount(r * BITS + (g >> np.uint64(54)).astype(np.int64), minlength=rows * BITS) & 1
                 maps = np.packbits(bits.astype(np.uint8).reshape(rows, BITS), axis=1)
+                wide: list[bytes | None] = [None] * rows
+                for i in np.flatnonzero(n > LONG).tolist():  # about one bit per n-gram
+                    size = int(n[i] - 1).bit_length()
+                    mine = g[first[i] : first[i + 1]] >> np.uint64(64 - size)
+                    wide[i] = np.packbits((np.bincount(mine.astype(np.int64), minlength=1 << size) & 1).astype(np.uint8)).tobytes()
                 raw = g.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), *[pa.array(x.view(np.int64)) for x in (s1, s2, ph)], pa.array([x.tobytes() for x in maps], pa.binary()), pa.array([raw[8 * a : 8 * (a + m)] for a, m in zip(first[:-1].tolist(), need.tolist(), strict=True)], pa.binary())],
-                    names=["doc_id", "n", "s1", "s2", "prefix_hash", "bitmap", "prefix"],
+                    [part.column(0), pa.array(n), *[pa.array(x.view(np.int64)) for x in (s1, s2, ph)], pa.array([x.tobytes() for x in maps], pa.binary()), pa.array([raw[8 * a : 8 * (a + m)] for a, m in zip(first[:-1].tolist(), need.tolist(), strict=True)], pa.binary()), pa.array(wide, pa.binary())],
+                    names=["doc_id", "n", "s1", "s2", "prefix_hash", "bitmap", "prefix", "wide"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, _SETS)
@@ -274,6 +281,35 @@ def _round_two(percent: int):
     return run
 
 
+def _fold(a: bytes, size: int) -> np.ndarray:
+    """A parity bitmap at a smaller size: neighbouring bits are joined by exclusive or."""
+    bits = np.unpackbits(np.frombuffer(a, np.uint8))
+    while len(bits) > 8 * size:
+        bits = bits[::2] ^ bits[1::2]
+    return np.packbits(bits)
+
+
+def sifted(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of long texts that also pass by their wide bitmaps; these are some hundredths of the texts' size."""
+    w = members.where("wide is not null").select("doc_id", "n", "wide")
+    side = lambda x: w.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "na", "nb", "wa", "wb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, wa, wb in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                if wa is None or wb is None:
+                    keep.append(True)
+                    continue
+                size = min(len(wa), len(wb))
+                differ = int(np.bitwise_count(_fold(wa, size) ^ _fold(wb, size)).sum())
+                keep.append(differ <= na + nb - 2 * (-(-percent * (na + nb) // (100 + percent))))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return stage(both.mapInArrow(run, "a long, b long"), "sifted")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose n-gram sets are as similar as asked, from whole texts."""
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
@@ -320,20 +356,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     groups = stage(classes.groupBy("n", "prefix_hash").agg(F.min("cid").alias("gid"), F.count("*").alias("members")), "groups")
     # one row per class, with its group
     members = classes.join(groups, ["n", "prefix_hash"]).select("cid", "gid", "s1", "s2", "n")
-    members = stage(sets.join(members.select(F.col("cid").alias("doc_id"), "gid", "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"]).select("doc_id", "n", "gid", "bitmap", F.when(F.col("doc_id") == F.col("gid"), F.col("prefix")).alias("prefix")), "members")
+    members = stage(sets.join(members.select(F.col("cid").alias("doc_id"), "gid", "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"]).select("doc_id", "n", "gid", "bitmap", "wide", F.when(F.col("doc_id") == F.col("gid"), F.col("prefix")).alias("prefix")), "members")
     parts, buckets = 2 * n, max(n, rows // sd.DOCS_PER_BUCKET)
     prefixes = members.where("prefix is not null").select("doc_id", "prefix", "n").mapInArrow(_prefix_rows(parts), sd._ROWS)
     shared = stage(prefixes.repartition(n, "part").mapInArrow(_shared_tokens(buckets, percent), sd._ROWS), "shared")
-    bucketed = members.drop("prefix").withColumn("part", F.pmod("gid", F.lit(buckets)).cast("int"))
+    bucketed = members.drop("prefix", "wide").withColumn("part", F.pmod("gid", F.lit(buckets)).cast("int"))
     entries = bucketed.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_entries, _ENTRY)
     one = stage(entries.repartition(n, "token").mapInArrow(_round_one(percent), _ENTRY), "round1")
-    links = stage(verified(one.where("token is null").select("a", "b").distinct(), docs, k, percent), "links1")
+    links = stage(verified(sifted(one.where("token is null").select("a", "b").distinct(), members, percent), docs, k, percent), "links1")
     large = one.where("token is not null")
     if not large.isEmpty():
         comp = stage(component_labels(links.select(F.explode(F.array("a", "b")).alias("node")), links), "labels1")
         large = large.drop("b").join(comp.select(F.col("node").alias("a"), F.col("component").alias("b")), "a", "left").withColumn("b", F.coalesce("b", "a"))
         two = stage(large.select("a", "b", "token", "n", "bitmap").repartition(n, "token").mapInArrow(_round_two(percent), _ENTRY).select("a", "b").distinct(), "round2")
-        links = stage(links.unionByName(verified(two, docs, k, percent)).distinct(), "links2")
+        links = stage(links.unionByName(verified(sifted(two, members, percent), docs, k, percent)).distinct(), "links2")
     comp = component_labels(links.select(F.explode(F.array("a", "b")).alias("node")), links)
     labels = classes.join(comp.select(F.col("node").alias("cid"), "component"), "cid", "left").select("n", "s1", "s2", F.coalesce("component", "cid").alias("component_id"))
     out = sets.select("doc_id", "n", "s1", "s2").join(labels, ["n", "s1", "s2"], "left")
