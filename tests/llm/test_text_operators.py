@@ -33,6 +33,38 @@ def test_substring_dedup(spark, rows, fixture_dir):
     assert sorted([tuple(r) for r in got], key=str) == brute_dedup(rows)
 
 
+@pytest.mark.parametrize("batches,most_runs", [(1, 2), (3, 1), (7, 3)])
+def test_batches_and_compaction_change_nothing(spark, rows, docs, monkeypatch, batches, most_runs):
+    made = []
+    init = substring_dedup.AnchorRuns.__init__
+
+    def keep(self, *args):
+        init(self, *args, most_runs=most_runs)
+        made.append(self)
+
+    monkeypatch.setattr(substring_dedup.AnchorRuns, "__init__", keep)
+    got = substring_dedup.dedup(docs, batches=batches).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got], key=str) == brute_dedup(rows)
+    assert len(made) == 1 and len(made[0].marks) == batches and len(made[0].runs) <= most_runs
+
+
+def test_runs_are_sorted_and_wake_single_holders(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, text if i in (1, 12, 23) else " ".join(f"x{i}y{k}" for k in range(30))) for i in range(30)], "doc_id long, text string")
+    index = substring_dedup.AnchorRuns(spark, 13, 5, 4, 3)
+    for lo in (0, 10, 20):
+        index.add(docs.where(f"doc_id >= {lo} and doc_id < {lo + 10}"))
+    assert len(index.runs) == 1  # two runs and a compaction
+    marked = set()
+    for r in index.shared().collect():
+        marked |= set(substring_dedup._unplanes(r.doc, np.int64).tolist())
+    assert marked == {1, 12, 23}
+    for r in index._read(index.runs, 1).collect():
+        h = np.cumsum(substring_dedup._unplanes(r.hash, np.uint64), dtype=np.uint64)
+        d = substring_dedup._unplanes(r.doc, np.int64)
+        assert (h[1:] > h[:-1]).all() and (h % np.uint64(4) == r.part).all() and not set(d.tolist()) & {1, 12, 23}
+
+
 def test_incremental_index_equals_one_batch(spark, rows, docs, tmp_path):
     index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"), parts=8, most_runs=2)
     known = [r for r in rows if r[0] is not None]

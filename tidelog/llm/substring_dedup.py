@@ -2,11 +2,14 @@
 
 A window is `width` consecutive words of one document. Fingerprints (64 bits to route and join, 16 more from an
 independent hash to verify) are packed into blobs per part of the hash space, so a shuffle moves about ten bytes per
-fingerprint and one task sorts and merge-joins a part. Fingerprints of a batch may be kept as an immutable run sorted by
-part and hash; later batches are merge-joined with all runs, and runs are compacted into one.
+fingerprint and one task sorts and merge-joins a part.
 
-Without history, full windows are only fingerprinted where they can repeat: each window's anchor (the least hash among
-its short word runs) is joined first, and only windows whose anchor stands in two documents go on.
+`dedup` takes a table in batches of ascending doc_id through `AnchorRuns`, a log-structured index: the window hashes of a
+batch (a window's anchor, the least hash among its short word runs; equal windows have equal anchors) are merge-joined
+with the sorted immutable runs of all smaller documents and among themselves, then appended as a run; beyond MOST_RUNS
+the same merge writes one compacted run. What matches is verified: windows whose anchor stands in two documents are
+fingerprinted in full and decided. `FingerprintIndex` holds runs of full window fingerprints instead: larger, but a
+later batch is decided without the text of earlier ones.
 
 Before a shuffle each task keeps only the least (for anchors: least and largest) document of a fingerprint; further
 documents of its own batch are decided on the spot, so a passage that many documents share stays one entry per task.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import wordscan
-from tidelog.llm.common import stage, table
+from tidelog.llm.common import drop_path, new_path, stage, table
 from tidelog.llm.wordscan import mix64
 
 WIDTH, ANCHOR = 13, 5
+BATCHES, MOST_RUNS = 4, 2
+#: Stands for the documents of an anchor whose holders are all marked already, and of history.
+SHARED = -(1 << 63)
 FLUSH = 2_000_000
 BROADCAST_IDS = 2_000_000
 DOCS_PER_BUCKET = 1_000
@@ -163,24 +170,135 @@ def _collect(batches: Iterator[pa.RecordBatch], parts: int) -> tuple[list, list,
     return hs, ds, xs, through
 
 
-def _marks(batches: Iterator[pa.RecordBatch], parts: int, buckets: int, all_of_shared: bool) -> Iterator[pa.RecordBatch]:
-    """Merge-join of a task's parts. all_of_shared: every document of a shared hash; else those after the first."""
+def _marks(batches: Iterator[pa.RecordBatch], parts: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Merge-join of a task's parts: the documents of a fingerprint after the first."""
     hs, ds, xs, through = _collect(batches, parts)
     if through:
         yield _batch(through)
     if hs:
         h, d, x = np.concatenate(hs), np.concatenate(ds), np.concatenate(xs)
         order, first = _firsts(h, x, d)
-        out = ~first
-        if all_of_shared:
-            out = out | np.append(~first[1:], False)
-        h, d = h[order][out], d[order][out]
+        h, d = h[order][~first], d[order][~first]
         own = d >= -(1 << 62)  # entries of history are not marked
         h, d = h[own], d[own]
         if len(h):
             yield _batch([(g, a, b, b"") for g, a, b, _ in _split(_bucket(d, buckets), h, d, np.zeros(len(h), np.uint16))])
 
 
+def _deltas(h: np.ndarray) -> np.ndarray:
+    """A sorted array as its first value and differences, whose high bytes are mostly zero."""
+    return np.diff(h, prepend=h.dtype.type(0))
+
+
+def _merged_runs(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted entry per hash; its document, or SHARED where runs differ."""
+    order = np.lexsort((d, h))
+    h, d = h[order], d[order]
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
+    last = np.append(first[1:], True)[: len(h)]
+    return h[first], np.where(d[first] == d[last], d[first], SHARED)
+
+
+def _probe(batches: Iterator[pa.RecordBatch], parts: int, buckets: int, compact: bool) -> Iterator[pa.RecordBatch]:
+    """Merge-join of a task's parts of the runs with those of a batch: marks (run 0) and entries of the new run (run 1)."""
+    fresh, runs = ([_NONE.view(np.uint64)], [_NONE]), ([_NONE.view(np.uint64)], [_NONE])
+
+    def out(run: int, rows: list[tuple]) -> pa.RecordBatch:
+        got = _batch(rows)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), run, np.int32)), *(got.column(i) for i in range(3))], names=["run", "part", "hash", "doc"])
+
+    def marks(h: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+        return out(0, [r[:3] + (b"",) for r in _split(_bucket(d, buckets), h, d, np.zeros(len(h), np.uint16))])
+
+    for batch in batches:
+        through = []
+        for part, h, d, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if part >= parts:
+                through.append((part - parts, h, d, b""))
+            else:
+                old = x == b"run"
+                to = runs if old else fresh
+                h = _unplanes(h, np.uint64)
+                to[0].append(np.cumsum(h, dtype=np.uint64) if old else h)
+                to[1].append(_unplanes(d, np.int64))
+        if through:
+            yield out(0, through)
+    old_h, old_d = _merged_runs(np.concatenate(runs[0]), np.concatenate(runs[1]))
+    h, d = np.concatenate(fresh[0]), np.concatenate(fresh[1])
+    order, first = _firsts(h, np.zeros(len(h), np.uint16), d)
+    h, d = h[order], d[order]
+    start = np.flatnonzero(first)
+    keys, size = h[start], np.diff(np.append(start, len(h)))
+    at = np.minimum(np.searchsorted(old_h, keys), max(len(old_h) - 1, 0))
+    hit = old_h[at] == keys if len(old_h) else np.zeros(len(keys), bool)
+    shared = hit | (size > 1)
+    use = np.repeat(shared, size)
+    woken = at[hit]
+    woken = woken[old_d[woken] != SHARED]
+    if use.any() or len(woken):
+        yield marks(np.append(h[use], old_h[woken]), np.append(d[use], old_d[woken]))
+    new_h, new_d = keys, np.where(shared, SHARED, d[start])
+    if compact:
+        new_h, new_d = _merged_runs(np.append(old_h, new_h), np.append(old_d, new_d))
+    part = (new_h % np.uint64(parts)).astype(np.int64)
+    for p in np.unique(part).tolist():
+        ph, pd_ = new_h[part == p], new_d[part == p]
+        yield out(1, [(p, _planes(_deltas(ph[a : a + FLUSH])), _planes(pd_[a : a + FLUSH]), b"") for a in range(0, len(ph), FLUSH)])
+
+
+class AnchorRuns:
+    """Log-structured index of window anchors: immutable runs sorted by part and hash, under the shared folder.
+
+    Batches come in ascending order of doc_id, and no doc_id in two of them. An entry is the anchor and the only document
+    that holds it, or SHARED: then all of its holders were marked before.
+    """
+
+    def __init__(self, spark: SparkSession, width: int, anchor: int, parts: int, buckets: int, most_runs: int = MOST_RUNS):
+        self.spark, self.width, self.anchor, self.parts, self.buckets, self.most_runs = spark, width, anchor, parts, buckets, most_runs
+        self.runs: list[str] = []
+        self.marks: list[str] = []
+
+    def add(self, batch: DataFrame) -> None:
+        """Merge-join a batch with all runs; append its run, or compact where that would be one run too many."""
+        parts, buckets, compact = self.parts, self.buckets, len(self.runs) >= self.most_runs
+        rows = batch.mapInArrow(_anchor_rows(self.width, self.anchor, parts, buckets), _ROWS)
+        if self.runs:
+            rows = rows.unionByName(self._read(self.runs, 1).withColumn("extra", F.lit(b"run")))
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        path = new_path(self.spark, "run")
+        got = rows.repartition(n, "part").mapInArrow(lambda it: _probe(it, parts, buckets, compact), "run int, part int, hash binary, doc binary")
+        got.write.option("compression", "zstd").partitionBy("run").parquet(path)
+        self.marks.append(path)
+        if compact:
+            for old in self.runs:
+                drop_path(self.spark, f"{old}/run=1")
+            self.runs = []
+        self.runs.append(path)
+
+    def _read(self, paths: list[str], run: int) -> DataFrame:
+        """Entries of runs (1) or marks (0) of the given writes; a write may have none."""
+        every = [self.spark.read.schema("part int, hash binary, doc binary, run int").parquet(p).where(F.col("run") == run).drop("run") for p in paths]
+        return reduce(DataFrame.unionByName, every)
+
+    def shared(self) -> DataFrame:
+        """Anchors that stand in two documents at least, with their documents, by bucket of the document."""
+        return self._read(self.marks, 0).withColumn("extra", F.lit(b""))
+
+
+def id_batches(docs: DataFrame, count: int) -> list[DataFrame]:
+    """Batches of about equal numbers of rows in ascending order of doc_id; equal ids stay together, null ids go out."""
+    at = [i / count for i in range(1, count)]
+    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", at, 1000)).first()[0] or ())) if at else []
+    edges = [None, *cuts, None]
+    out = []
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        df = docs.where("doc_id is not null")
+        df = df if lo is None else df.where(F.col("doc_id") >= lo)
+        out.append(df if hi is None else df.where(F.col("doc_id") < hi))
+    return out
+
+
 def _pair(h: np.ndarray, d: np.ndarray) -> np.ndarray:
     return mix64(h ^ mix64(d.view(np.uint64)))
 
@@ -277,22 +395,29 @@ def _result(width: int):
 _RESULT = "doc_id long, n_words long, n_removed long, kept string"
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, history: DataFrame | None = None) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) of every row. history: run rows whose windows count as seen before all docs."""
+def dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, history: DataFrame | None = None, batches: int = BATCHES) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) of every row.
+
+    Without history, docs go through `AnchorRuns` in batches of ascending doc_id; their number changes no result.
+    history: rows of full-window runs, which count as seen before all docs.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 2 * n
     buckets = max(n, docs.count() // DOCS_PER_BUCKET)
     by_bucket = lambda d: d.withColumn("part", F.pmod(F.col("doc_id"), F.lit(buckets)).cast("int"))
-    merge = lambda rows, every: rows.repartition(n, "part").mapInArrow(lambda it: _marks(it, parts, buckets, every), _ROWS)
+    merge = lambda rows: rows.repartition(n, "part").mapInArrow(lambda it: _marks(it, parts, buckets), _ROWS)
     if history is None:
-        found = stage(merge(docs.mapInArrow(_anchor_rows(width, anchor, parts, buckets), _ROWS), True), "anchors")
+        index = AnchorRuns(spark, width, anchor, parts, buckets)
+        for batch in id_batches(docs, batches):
+            index.add(batch)
+        found = index.shared()
         some, _ = _of_marked(docs, found)
         windows = by_bucket(some).groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_window_rows(width, anchor, parts, buckets), _ROWS)
     else:
         windows = docs.mapInArrow(_all_window_rows(width, parts, buckets, True), _ROWS).unionByName(_as_old(history, parts))
-    marks = stage(merge(windows, False), "marks")
+    marks = stage(merge(windows), "marks")
     some, rest = _of_marked(docs, marks)
     rows = _result(width)
 
@@ -328,7 +453,7 @@ def _as_old(history: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h, x = _unplanes(h, np.uint64), _unplanes(x, np.uint16)
-                yield _batch(list(_split((h % np.uint64(parts)).astype(np.int64), h, np.full(len(h), -(1 << 63), np.int64), x)))
+                yield _batch(list(_split((h % np.uint64(parts)).astype(np.int64), h, np.full(len(h), SHARED, np.int64), x)))
 
     return history.select("hash", "extra").mapInArrow(run, _ROWS)
 
