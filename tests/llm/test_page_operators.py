@@ -110,3 +110,16 @@ def test_near_vectors(spark, monkeypatch):
         assert (got[i].n_links, got[i].component_id) == (0, i)
     assert got[None].component_id is None
     assert got[1004].component_id == got[7].component_id and got[5].component_id == got[0].component_id
+
+
+@pytest.mark.parametrize("size", [16, 128, 512, 2048])
+def test_recall_of_pairs_at_the_threshold_holds_at_every_code_size(size):
+    code = vector_dedup.CapCode(64, size, 24.0)
+    x, y = vector_dedup._pairs(64, 0.95, np.random.default_rng(size), 1000)
+    x[:200, :32] *= 0.2  # most of the length in one block
+    x[:200] /= np.linalg.norm(x[:200], axis=1, keepdims=True)
+    d = np.random.default_rng(7).standard_normal((200, 64))
+    d -= (d * x[:200]).sum(axis=1, keepdims=True) * x[:200]
+    y[:200] = 0.95 * x[:200] + np.sqrt(1 - 0.95**2) * d / np.linalg.norm(d, axis=1, keepdims=True)
+    met = np.array([len(np.intersect1d(a, b)) > 0 for a, b in zip(code.decode(x), code.decode(y), strict=True)])
+    assert met[:200].mean() >= 0.9 and met[200:].mean() >= 0.9

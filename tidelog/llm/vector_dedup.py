@@ -2,8 +2,10 @@
 
 A filter is a direction built from one code word per block of the coordinates; a vector belongs to all filters whose
 direction exceeds a threshold, found by list decoding (best code words per block first). Vectors that share a filter
-are verified by cosine in double precision. The codes are random but fixed by a seed; a pair at the threshold shares a
-filter with a probability that `per_vector` sets (README states the measured recall).
+are verified by cosine in double precision. The codes are random but fixed by a seed. Vectors are turned by a random
+rotation before they meet the code, so that any pair is to the code as a random pair of its cosine; the threshold is
+calibrated on such pairs at the least cosine, for every code size, so that a share of `recall` of them has a common
+filter (README states the measured recall).
 
 Equal vectors collapse into one class first. In a filter's bucket the pairs are never emitted: the result is a count of
 links per vector and a labelled forest of its components. A pair counts in its smallest common filter only. Buckets
@@ -31,9 +33,12 @@ _FILTERED = "rep long, weight long, filters array<int>, embedding array<float>"
 
 
 class CapCode:
-    """Two blocks of `size` random unit code words each: size * size filter directions."""
+    """Two blocks of `size` random unit code words each: size * size filter directions.
 
-    def __init__(self, dim: int, size: int, per_vector: float, seed: int = 23):
+    A vector has `per_vector` filters or more: as many as a share of `recall` of the pairs with cosine `cosine` needs.
+    """
+
+    def __init__(self, dim: int, size: int, per_vector: float, seed: int = 23, cosine: float = 0.95, recall: float = 0.95):
         rng = np.random.default_rng(seed)
         self.cut = dim // 2
         self.words = []
@@ -42,10 +47,22 @@ class CapCode:
             self.words.append(c / np.linalg.norm(c, axis=1, keepdims=True))
         self.size = size
         share = min(0.4, per_vector / size**2)
-        self.least = NormalDist().inv_cdf(1 - share) * np.sqrt(2 / dim)
+        self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+        # the Gaussian tail is too thick for a large code: the scores of pairs say how far the threshold must come down
+        self.least = min(NormalDist().inv_cdf(1 - share) * np.sqrt(2 / dim), float(np.quantile(self._common(*_pairs(dim, cosine, rng)), 1 - recall)))
+
+    def _common(self, x: np.ndarray, y: np.ndarray, best: int = 96) -> np.ndarray:
+        """The largest threshold at which each pair has a common filter, among the best words of each block (so never too high)."""
+        out = np.empty(len(x))
+        for i in range(len(x)):
+            a, b = (np.stack([w[:, : v.shape[1]] @ v[0], w[:, : v.shape[1]] @ v[1]]) for w, v in zip(self.words, np.split(np.stack([x[i], y[i]]), [self.cut], axis=1), strict=True))
+            a, b = (s[:, np.argsort(-s.sum(axis=0))[:best]] for s in (a, b))
+            out[i] = (a[:, :, None] + b[:, None, :]).min(axis=0).max()
+        return out
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
         """All exceeding filters of each unit vector; the best one always counts."""
+        x = x @ self.turn
         scores = [x[:, : self.cut] @ self.words[0][:, : self.cut].T, x[:, self.cut :] @ self.words[1].T] if self.cut else [np.zeros((len(x), self.size)), x @ self.words[1].T]
         order = [np.argsort(-s, axis=1) for s in scores]
         ranked = [np.take_along_axis(s, o, axis=1) for s, o in zip(scores, order, strict=True)]
@@ -60,6 +77,15 @@ class CapCode:
         return out
 
 
+def _pairs(dim: int, cosine: float, rng: np.random.Generator, n: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors with the given cosine."""
+    x = _unit(rng.standard_normal(n * dim), dim)
+    y = rng.standard_normal((n, dim))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+    return x, cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * y
+
+
 def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
     x = flat.astype(np.float64).reshape(-1, dim)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -146,7 +172,7 @@ def _bucket_links(dim: int, least: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, per_vector: float = 24.0, id_col: str = "vec_id") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.95, per_vector: float = 24.0, id_col: str = "vec_id", recall: float = 0.95) -> DataFrame:
     """(id, n_links, component_id) for every row."""
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
@@ -161,7 +187,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, per_vector: float = 24
     count = classes.count()
     if not count:
         return v.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    code = CapCode(dim, 1 << min(11, max(4, (int(count).bit_length() + 1) // 2)), per_vector)
+    code = CapCode(dim, 1 << min(11, max(4, (int(count).bit_length() + 1) // 2)), per_vector, cosine=least, recall=recall)
     decoded = stage(classes.mapInArrow(_decode_rows(code, dim), _FILTERED), "decoded")
     rows = decoded.select("*", F.explode("filters").alias("filter"))
     crowd = stage(decoded.select(F.explode("filters").alias("filter")).groupBy("filter").count().where("count > 1").select("filter", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "crowd")
