@@ -245,6 +245,33 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(np.exp(m.log_likelihood(["az"])[0]), of["a"] * m.floor)
 
 
+def test_all_pieces_and_long_runs_take_part():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=language_id.default_vocabulary())
+    pieces = language_id.letter_pieces(language_id.default_vocabulary())
+    assert set(pieces) == {p for p in (sp.id_to_piece(i).lstrip("▁") for i in range(sp.get_piece_size())) if p.isalpha() and p == p.lower()}
+    names = ["a", "b", "ab", "abababa", "bab"]
+    p = np.array([[0.1, 0.2], [0.3, 0.1], [0.2, 0.3], [0.25, 0.15], [0.15, 0.25]])
+    m = language_id.PieceModel(names, ["x", "y"], None)
+    order = [int(np.searchsorted(m.keys, language_id._keys(language_id._codes([k])[0])[len(k) - 1].ravel()[0])) for k in names]
+    m.probs = np.zeros_like(p)
+    m.probs[order] = p
+    assert sorted(language_id.runs_of("ab" * 900 + " ab")) == ["ab", "ab" * 900]
+    for w in ("abababa", "ab" * 40, "ab" * 900 + "a"):
+        total, scale = [np.ones(2)], np.zeros(2)
+        for j in range(1, len(w) + 1):
+            total.append(sum(q * total[j - len(k)] for k, q in zip(names, p, strict=True) if w[:j].endswith(k)))
+            if j % 20 == 0:
+                scale, total = scale + np.log(total[-1]), [t / total[-1] for t in total]
+        assert np.allclose(m.log_likelihood([w])[0], np.log(total[-1]) + scale)
+    # learning from a long run does what it does from short ones
+    a, b = (language_id.PieceModel(["a", "b", "ab"], ["x"], None) for _ in range(2))
+    a.learn([("ab" * 8, np.array([1.0]))], rounds=1)
+    b.learn([("ab" * 400, np.array([0.02]))], rounds=1)
+    assert np.allclose(a.probs, b.probs)
+
+
 def test_quality_classifier(spark, rows, fixture_dir):
     got = registry.QUERIES["op10_quality_classifier"](spark, fixture_dir).collect()
     assert len(got) == len(rows)

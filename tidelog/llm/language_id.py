@@ -4,8 +4,8 @@ Each language has a probability for every piece of the vocabulary. The likelihoo
 all its segmentations into pieces of the product of the pieces' probabilities: a forward pass, made for many distinct
 runs at once in numpy. Probabilities are learned by expectation-maximisation (forward and backward passes).
 
-Texts are lower-cased and cut into runs of letters; runs of over PART letters are scored in parts of PART, so that
-products stay in the range of doubles. A text's score is the posterior of the best language, all being equally likely
+Texts are lower-cased and cut into runs of letters; runs of over PART letters are summed in logarithms, since their
+products leave the range of doubles. A text's score is the posterior of the best language, all being equally likely
 before. Letters outside the vocabulary take a floor probability.
 
 Defined cases: a null text or one without a letter is `und` with score 0; documents with null lang or id are never
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import crc_mod, table, unit_hash
 
-PART, LONGEST = 32, 6
+PART = 32
 SAMPLE_CHARS = 4_000_000
 CACHE_WORDS = 300_000
 _RUN = re.compile(r"[^\W\d_]+")
@@ -41,12 +41,12 @@ def default_vocabulary() -> str:
 
 
 def letter_pieces(path: str) -> list[str]:
-    """The vocabulary's pieces of lower-case letters, at most LONGEST long, without word marks."""
+    """The vocabulary's pieces of lower-case letters, without word marks."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     got = (sp.id_to_piece(i).lstrip("▁") for i in range(sp.get_piece_size()))
-    return sorted({p for p in got if 0 < len(p) <= LONGEST and p.isalpha() and p == p.lower()})
+    return sorted({p for p in got if p.isalpha() and p == p.lower()})
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,19 +56,32 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return m, size
 
 
-def _keys(m: np.ndarray) -> list[np.ndarray]:
-    """Hashes of all substrings: element k - 1 has those of length k by start."""
+def _keys(m: np.ndarray, longest: int | None = None) -> list[np.ndarray]:
+    """Hashes of all substrings (of at most `longest` letters): element k - 1 has those of length k by start."""
     out, h = [], np.full(m.shape, 14695981039346656037, np.uint64)
-    for k in range(1, min(LONGEST, m.shape[1]) + 1):
+    for k in range(1, min(longest or m.shape[1], m.shape[1]) + 1):
         h = (h[:, : m.shape[1] - k + 1] ^ (m[:, k - 1 :] + np.uint64(k))) * _B
         h = h ^ (h >> np.uint64(29))
         out.append(h)
     return out
 
 
+def _batches(words: list[str]) -> Iterator[list[int]]:
+    """Places of the words by length: 4096 at once, fewer where they are over PART letters; these are never with shorter ones."""
+    by = sorted(range(len(words)), key=lambda i: len(words[i]))
+    lo = 0
+    while lo < len(by):
+        hi = lo + 1
+        while hi < len(by) and hi - lo < 4096 and (len(words[by[hi]]) <= PART or (len(words[by[lo]]) > PART and (hi - lo + 1) * len(words[by[hi]]) <= 4096 * PART)):
+            hi += 1
+        yield by[lo:hi]
+        lo = hi
+
+
 class PieceModel:
     def __init__(self, pieces: list[str], langs: list[str], probs: np.ndarray | None = None, floor: float = 1e-7):
         self.langs, self.floor = langs, floor
+        self.longest = max(map(len, pieces), default=1)
         keys = np.concatenate([_keys(_codes([p])[0])[len(p) - 1].ravel() for p in pieces]) if pieces else np.zeros(0, np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.n = keys[order], len(keys)
@@ -80,7 +93,7 @@ class PieceModel:
 
     def _ids(self, m: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
         out = []
-        for k, h in enumerate(_keys(m), 1):
+        for k, h in enumerate(_keys(m, self.longest), 1):
             at = np.searchsorted(self.keys, h).clip(max=max(self.n - 1, 0))
             hit = (self.keys[at] == h) if self.n else np.zeros(h.shape, bool)
             ids = np.where(hit, at, self.n if k == 1 else self.n + 1)
@@ -95,53 +108,69 @@ class PieceModel:
                 a[j] += a[j - k] * p[ids[k - 1][:, j - k]]
         return a
 
+    def _log_pass(self, ids: list[np.ndarray], lp: np.ndarray, n: int, length: int) -> np.ndarray:
+        """The forward pass in logarithms."""
+        a = np.full((length + 1, n, len(self.langs)), -np.inf)
+        a[0] = 0
+        for j in range(1, length + 1):
+            a[j] = np.logaddexp.reduce([a[j - k] + lp[ids[k - 1][:, j - k]] for k in range(1, min(j, len(ids)) + 1)])
+        return a
+
     def log_likelihood(self, words: list[str]) -> np.ndarray:
-        """For each run of at most PART letters, by language."""
+        """For each run, by language."""
         out = np.zeros((len(words), len(self.langs)))
         p = self._rows()
-        by = np.argsort([len(w) for w in words], kind="stable")
-        for i in range(0, len(words), 4096):
-            idx = by[i : i + 4096]
+        with np.errstate(divide="ignore"):
+            lp = np.log(p)
+        for idx in _batches(words):
             m, size = _codes([words[x] for x in idx])
-            a = self._forward(self._ids(m, size), p, len(idx), m.shape[1])
-            out[idx] = np.log(a[size, np.arange(len(idx))])
+            ids, n, end = self._ids(m, size), len(idx), (size, np.arange(len(idx)))
+            out[idx] = np.log(self._forward(ids, p, n, m.shape[1])[end]) if m.shape[1] <= PART else self._log_pass(ids, lp, n, m.shape[1])[end]
         return out
 
     def learn(self, counts: list[tuple[str, np.ndarray]], rounds: int = 4, smooth: float = 0.05) -> None:
         """counts: runs with how often each language has them."""
-        counts = sorted(counts, key=lambda x: len(x[0]))
         for _ in range(rounds):
             p, got = self._rows(), np.zeros((self.n + 2, len(self.langs)))
-            for i in range(0, len(counts), 4096):
-                part = counts[i : i + 4096]
+            with np.errstate(divide="ignore"):
+                lp = np.log(p)
+            for idx in _batches([w for w, _ in counts]):
+                part = [counts[i] for i in idx]
                 m, size = _codes([w for w, _ in part])
                 n, length = m.shape
-                ids = self._ids(m, size)
-                a = self._forward(ids, p, n, length)
-                b = np.zeros_like(a)
-                b[size, np.arange(n)] = 1
-                for j in range(length - 1, -1, -1):
-                    for k in range(1, min(length - j, len(ids)) + 1):
-                        b[j] += b[j + k] * p[ids[k - 1][:, j]]
-                w = np.array([c for _, c in part]) / np.maximum(a[size, np.arange(n)], 1e-300)
+                ids, end = self._ids(m, size), (size, np.arange(n))
+                times = np.array([c for _, c in part])
+                if length > PART:
+                    a = self._log_pass(ids, lp, n, length)
+                    b = np.full_like(a, -np.inf)
+                    b[end] = 0
+                    for j in range(length - 1, -1, -1):
+                        b[j] = np.logaddexp(b[j], np.logaddexp.reduce([b[j + k] + lp[ids[k - 1][:, j]] for k in range(1, min(length - j, len(ids)) + 1)]))
+                    share = lambda j, k, at: np.exp(a[j] + lp[at] + b[j + k] - a[end]) * times  # noqa: B023, E731
+                else:
+                    a = self._forward(ids, p, n, length)
+                    b = np.zeros_like(a)
+                    b[end] = 1
+                    for j in range(length - 1, -1, -1):
+                        for k in range(1, min(length - j, len(ids)) + 1):
+                            b[j] += b[j + k] * p[ids[k - 1][:, j]]
+                    w = times / np.maximum(a[end], 1e-300)
+                    share = lambda j, k, at: a[j] * p[at] * b[j + k] * w  # noqa: B023, E731
                 for k in range(1, len(ids) + 1):
                     for j in range(length - k + 1):
                         at = ids[k - 1][:, j]
                         use = at < self.n
-                        np.add.at(got, at[use], (a[j] * p[at] * b[j + k] * w)[use])
+                        if use.any():
+                            np.add.at(got, at[use], share(j, k, at)[use])
             self.probs = (got[: self.n] + smooth) / (got[: self.n].sum(axis=0) + smooth * max(1, self.n))
 
 
 def runs_of(text: str) -> list[str]:
-    """Runs of letters of the lower-cased text, long ones in parts."""
+    """Runs of letters of the lower-cased text."""
     got = _RUN.findall(text.lower())
-    if not got or (len(max(got, key=len)) <= PART and all(map(str.isalpha, got))):
+    if all(map(str.isalpha, got)):
         return got
-    cut = []
-    for w in got:
-        for x in [w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split():
-            cut += [x[i : i + PART] for i in range(0, len(x), PART)]
-    return cut
+    return [x for w in got for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def train(docs: DataFrame, condition, vocabulary: str, sample_chars: int = SAMPLE_CHARS) -> PieceModel:
@@ -172,7 +201,7 @@ def identify(docs: DataFrame, model: PieceModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _state.get("key") != key:
-            _state.update(key=key, at={}, rows=np.zeros((1 << 12, len(model.langs))))
+            _state.update(key=key, at={}, letters=0, rows=np.zeros((1 << 12, len(model.langs))))
         for batch in batches:
             texts = batch.column(1)
             preds, scores = [], []
@@ -180,8 +209,9 @@ def identify(docs: DataFrame, model: PieceModel) -> DataFrame:
                 runs = [runs_of(t) if t else [] for t in texts.slice(i, 256).to_pylist()]
                 at = _state["at"]
                 new = list({w for r in runs for w in r if w not in at})
-                if len(at) + len(new) > CACHE_WORDS:
+                if len(at) + len(new) > CACHE_WORDS or _state["letters"] > CACHE_WORDS * PART:
                     at.clear()
+                    _state["letters"] = 0
                     new = list({w for r in runs for w in r})
                 if new:
                     need = len(at) + len(new)
@@ -189,6 +219,7 @@ def identify(docs: DataFrame, model: PieceModel) -> DataFrame:
                         _state["rows"] = np.concatenate([_state["rows"], np.zeros((need, len(model.langs)))])
                     _state["rows"][len(at) : need] = model.log_likelihood(new)
                     at.update(zip(new, range(len(at), need), strict=True))
+                    _state["letters"] += sum(map(len, new))
                 rows = _state["rows"]
                 for r in runs:
                     if not r or not model.langs:
