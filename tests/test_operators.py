@@ -102,6 +102,19 @@ def test_cascade(spark):
     assert got("b") == {"a": "purged", "b": "purged", "c": "visible"}
 
 
+def test_fork_chains_of_any_length(spark):
+    n = 150
+    s = spark.createDataFrame([(f"s{i}", f"s{i - 1}" if i else None, off(9 + i) if i else None, False) for i in range(n)], "stream_id string, forked_from string, fork_offset string, soft_deleted boolean")
+    m = spark.createDataFrame([(f"s{i}", off(k)) for i in range(n) for k in (5, 500)], "stream_id string, offset string")
+    got = {(r.origin, r.offset) for r in lineage.chain_read(m, s).where(f"stream_id = 's{n - 1}'").collect()}
+    assert got == {(f"s{i}", off(5)) for i in range(n)} | {(f"s{n - 1}", off(500))}
+    gone = spark.createDataFrame([(f"s{i}",) for i in range(n - 1)], "stream_id string")
+    assert {r.status for r in lineage.cascade(s, gone).where("soft_deleted").collect()} == {"retained-soft-deleted"}
+    ring = spark.createDataFrame([("a", "b", Z), ("b", "a", Z)], "stream_id string, forked_from string, fork_offset string")
+    with pytest.raises(ValueError):
+        lineage.ancestry(ring)
+
+
 def test_jsonl_skips_bad_lines_and_keeps_the_last(spark, tmp_path):
     f = tmp_path / "m.jsonl"
     f.write_text(f'{{"offset":"{off(1)}","timestamp":1,"json":{{"a":1}}}}\nbad\n{{"offset":"{off(1)}","timestamp":2,"json":{{"a":2}}}}\n{{"offset":"{off(2)}","timestamp":3,"b64":"aGk="}}\n')

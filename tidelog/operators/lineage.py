@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from tidelog.sources.shared import cut
 
 
-def ancestry(streams: DataFrame, depth: int = 64) -> DataFrame:
+def ancestry(streams: DataFrame) -> DataFrame:
     """(leaf, ancestor, hi, depth): what each stream sees of itself (hi null) and of each ancestor (offsets up to hi).
 
     streams: stream_id, forked_from, fork_offset. The cap of an ancestor is the least fork offset on the way. Paths
-    double at every step, so a chain of length L takes log2 L joins; missing ancestors give nothing.
+    double at every step, so a chain of length L takes log2 L joins; missing ancestors give nothing. Forks that form a circle are an error.
     """
     streams = cut(streams.select("stream_id", "forked_from", "fork_offset"), "streams")
     edge = streams.where("forked_from is not null").select(F.col("stream_id").alias("leaf"), F.col("forked_from").alias("ancestor"), F.col("fork_offset").alias("hi"), F.lit(1).alias("depth"))
-    paths, reach = edge, 1
-    while reach < depth:
+    paths, reach, most = edge, 1, streams.count()
+    while True:
         ahead = paths.where(F.col("depth") <= reach)
         tail = ahead.select(F.col("leaf").alias("l2"), F.col("ancestor").alias("a2"), F.col("hi").alias("h2"), F.col("depth").alias("d2"))
         longer = cut(paths.where(F.col("depth") == reach).join(tail, F.col("ancestor") == F.col("l2")).select("leaf", F.col("a2").alias("ancestor"), F.least("hi", "h2").alias("hi"), (F.col("depth") + F.col("d2")).alias("depth")), "paths")
         if longer.isEmpty():
             break
+        if reach >= most:  # a path of more steps than there are streams
+            raise ValueError("forks form a circle")
         paths = paths.unionByName(longer)
         reach *= 2
     own = streams.select(F.col("stream_id").alias("leaf"), F.col("stream_id").alias("ancestor"), F.lit(None).cast("string").alias("hi"), F.lit(0).alias("depth"))
@@ -60,7 +62,7 @@ def delete_status(streams: DataFrame, policy: str = "reverse-index") -> DataFram
     return d.select("stream_id", "dependents", status.alias("status"))
 
 
-def cascade(streams: DataFrame, deleted: DataFrame, depth: int = 64) -> DataFrame:
+def cascade(streams: DataFrame, deleted: DataFrame) -> DataFrame:
     """Streams after deleting all of `deleted` (stream_id): soft-deleted ones without forks left go, upward, to a fixpoint.
 
     The outcome does not depend on the order of deletes: a deleted stream stays exactly while it has a descendant that
@@ -69,7 +71,7 @@ def cascade(streams: DataFrame, deleted: DataFrame, depth: int = 64) -> DataFram
     d = deleted.select(F.col("stream_id").alias("d_")).distinct()
     marked = streams.join(d, F.col("stream_id") == F.col("d_"), "left").withColumn("soft_deleted", F.coalesce("soft_deleted", F.lit(False)) | F.col("d_").isNotNull()).drop("d_")
     alive = marked.where("not soft_deleted").select(F.col("stream_id").alias("leaf"))
-    needed = ancestry(streams, depth).join(alive, "leaf").select(F.col("ancestor").alias("n_")).distinct()
+    needed = ancestry(streams).join(alive, "leaf").select(F.col("ancestor").alias("n_")).distinct()
     return marked.join(needed, F.col("stream_id") == F.col("n_"), "left").withColumn("status", F.when(~F.col("soft_deleted"), "visible").when(F.col("n_").isNotNull(), "retained-soft-deleted").otherwise("purged")).drop("n_")
 
 
