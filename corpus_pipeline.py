@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) with the columns of documents and return
 packing plan. Stages are written as Parquet to the shared folder and reread, so each works on all that its predecessor
 kept and a lost executor costs a reread.
 
-Null texts count as empty. Rows with a null doc_id pass the near-duplicate and substring stages unchanged.
+Null texts count as empty. The classifier and the mix decide row by row, whatever the doc_id. Rows with a null doc_id pass the near-duplicate and substring stages unchanged.
 """
 
 from __future__ import annotations
@@ -13,16 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import boosted_quality, mixing, ngram_join, packing, substring_dedup
-from tidelog.llm.common import stage, table
+from tidelog.llm.common import crc_mod, stage, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """The documents with a number of their own for every row."""
+    return stage(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the classifier predicts to be good. It is learned from the labelled documents outside the held-out third."""
-    feats, forest = boosted_quality.fitted(spark, docs, sf_dir)
-    bad = stage(boosted_quality.score(feats, forest).where("score < 0.5").select(F.col("doc_id").alias("id")), "rejected")
-    return docs.select(*COLUMNS).join(bad, F.col("doc_id") == F.col("id"), "left_anti")
+    rows = _rows(docs)
+    feats = stage(boosted_quality.document_features(rows.select(F.col("row").alias("doc_id"), "text")), "features")
+    known = feats.select(F.col("doc_id").alias("row"), "x").join(rows.select("row", "doc_id"), "row").select("doc_id", "x")
+    forest = boosted_quality.fit(known, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    bad = stage(boosted_quality.score(feats, forest).where("score < 0.5").select(F.col("doc_id").alias("row")), "rejected")
+    return rows.join(bad, "row", "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +53,10 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that sources meet their targets; a document stands as often as it is taken."""
-    taken = mixing.fair_queue(stage(mixing.sizes(docs), "sizes")).where("times > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("times").alias("times"))
-    out = docs.select(*COLUMNS).join(stage(taken, "taken"), F.col("doc_id").eqNullSafe(F.col("id")))
-    return out.withColumn("round", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    rows = _rows(docs)
+    sized = stage(mixing.sizes(rows, "row"), "sizes")
+    taken = stage(mixing.fair_queue(sized).where("times > 0").select("row", "times"), "taken")
+    return rows.join(taken, "row").withColumn("round", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -313,3 +313,24 @@ def test_pipeline(spark, fixture_dir, empty_dir):
         assert tuple(out.columns) == corpus_pipeline.COLUMNS, name
     assert corpus_pipeline.run(spark, fixture_dir).count() > 0
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
+
+
+def test_pipeline_decides_by_row(spark, fixture_dir, monkeypatch):
+    import corpus_pipeline
+
+    cols = "doc_id long, text string, lang string, source string, n_chars long"
+    good, bad = "good words stand here", "bad " * 300
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in ((1, good), (1, bad), (None, good), (None, bad), (2, good))], cols)
+    x = {len(t): boosted_quality.document_features(docs.where(f"length(text) = {len(t)}")).first().x for t in (good, bad)}
+    y = np.arange(2000) % 2
+    forest = boosted_quality.fit_forest(np.array([x[len(good)] if k else x[len(bad)] for k in y], np.float32), y.astype(float))
+    monkeypatch.setattr(boosted_quality, "fit", lambda *args: forest)
+    got = corpus_pipeline.quality(spark, docs, fixture_dir).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("1", good), ("2", good), ("None", good)]
+    # rows without an id, each as often as it is taken itself
+    docs = spark.createDataFrame([(None, "w " * (1 + i % 9), "en", "abc"[i % 3], i) for i in range(60)], cols)
+    want = collections.Counter()
+    for r in mixing.fair_queue(mixing.sizes(docs)).collect():  # equal rows may change places
+        want[r.source, r.size] += r.times
+    got = collections.Counter((r.source, len(words(r.text))) for r in corpus_pipeline.mix(spark, docs, fixture_dir).collect())
+    assert got == +want

@@ -82,8 +82,8 @@ def fair_queue(sized: DataFrame, seed: int = 17, repeats: int = 3, cycle: tuple[
     return d.withColumn("times", F.when((F.col("size") > 0) & (F.col("target") > 0), times).otherwise(0))
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+def sizes(docs: DataFrame, *further: str) -> DataFrame:
+    return docs.select("doc_id", "source", *further, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
 
 
 def op6_source_mixing(spark, sf_dir: str) -> DataFrame:
