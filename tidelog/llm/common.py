@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +17,12 @@ _staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one of our own only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); where it is unset, a local one of our own, in local mode only."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not got:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         got = OWN_SHARED
-        spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
 
 
@@ -47,13 +50,32 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table staged by this driver (results that still read them must be written before)."""
-    jvm = spark.sparkContext._jvm
-    for path in _staged:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p.getParent(), True)
-    _staged.clear()
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables staged by this driver after the first `since`, but for the last `keep`.
+
+    Results that still read them must be written before.
+    """
+    end = len(_staged) - keep
+    for path in _staged[since:end]:
+        drop_path(spark, path.rpartition("/")[0])
+    del _staged[since:end]
+
+
+def staged_count() -> int:
+    return len(_staged)
+
+
+def settled(query):
+    """A query that stages its result and deletes all that it staged on the way."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        since = len(_staged)
+        out = stage(query(spark, *args), "result")
+        release(spark, since, keep=1)
+        return out
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,4 +117,6 @@ def component_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -
         e = nxt
         if done:
             break
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return nodes.select("node").distinct().join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

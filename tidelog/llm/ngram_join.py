@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import substring_dedup as sd
 from tidelog.llm import wordscan
-from tidelog.llm.common import component_labels, stage, table
+from tidelog.llm.common import component_labels, settled, stage, table
+from tidelog.llm.runs import unplanes
 from tidelog.llm.wordscan import mix64
 
 BITS, NEAR = 1024, 16
@@ -139,7 +140,7 @@ def _shared_tokens(buckets: int, percent: int):
     """Groups per n-gram that have another group of possible size beside them (nearest in size order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(sd._unplanes(h, np.uint64), sd._unplanes(d, np.int64), sd._unplanes(x, np.uint32)) for batch in batches for h, d, x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        got = [(unplanes(h, np.uint64), unplanes(d, np.int64), unplanes(x, np.uint32)) for batch in batches for h, d, x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
         if not got:
             return
         h, d, n = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -150,7 +151,7 @@ def _shared_tokens(buckets: int, percent: int):
         use = np.append(near, False) | np.append(False, near)
         h, d = h[use], d[use]
         if len(h):
-            yield sd._batch([(g, x, y, b"") for g, x, y, _ in sd._split(d % buckets, h, d, np.zeros(len(h), np.uint16))])
+            yield sd._batch([(g, x, y, b"") for g, x, y, _ in sd._split(sd.bucket_of(d, buckets), h, d, np.zeros(len(h), np.uint16))])
 
     return run
 
@@ -158,7 +159,7 @@ def _shared_tokens(buckets: int, percent: int):
 def _entries(left: pa.Table, right: pa.Table) -> pa.Table:
     """Members of a bucket of groups with every n-gram that their group shares, and with their group if it has many."""
     marks = right.select(["hash", "doc"])
-    got = [(sd._unplanes(h, np.uint64), sd._unplanes(d, np.int64)) for h, d in zip(marks.column(0).to_pylist(), marks.column(1).to_pylist(), strict=True)]
+    got = [(unplanes(h, np.uint64), unplanes(d, np.int64)) for h, d in zip(marks.column(0).to_pylist(), marks.column(1).to_pylist(), strict=True)]
     token = np.concatenate([x[0] for x in got]) if got else np.zeros(0, np.uint64)
     group = np.concatenate([x[1] for x in got]) if got else np.zeros(0, np.int64)
     gid, cid, n = (np.asarray(left.column(c).combine_chunks()).astype(np.int64) for c in ("gid", "doc_id", "n"))
@@ -360,7 +361,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     parts, buckets = 2 * n, max(n, rows // sd.DOCS_PER_BUCKET)
     prefixes = members.where("prefix is not null").select("doc_id", "prefix", "n").mapInArrow(_prefix_rows(parts), sd._ROWS)
     shared = stage(prefixes.repartition(n, "part").mapInArrow(_shared_tokens(buckets, percent), sd._ROWS), "shared")
-    bucketed = members.drop("prefix", "wide").withColumn("part", F.pmod("gid", F.lit(buckets)).cast("int"))
+    bucketed = sd.in_buckets(members.drop("prefix", "wide"), "gid", buckets)
     entries = bucketed.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_entries, _ENTRY)
     one = stage(entries.repartition(n, "token").mapInArrow(_round_one(percent), _ENTRY), "round1")
     links = stage(verified(sifted(one.where("token is null").select("a", "b").distinct(), members, percent), docs, k, percent), "links1")
@@ -376,5 +377,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def without_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, but for one of each component: that with the smallest doc_id, null ids last.
+
+    Nodes are rows, named by a 64-bit hash of doc_id and text, so null and repeated ids are documents of their own; rows
+    equal in both are one node, of which one row stays. Rows without a word stay.
+    """
+    node = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    got = stage(near_duplicates(docs.select(node.alias("doc_id"), "text"), k, percent), "components").select(F.col("doc_id").alias("node"), F.col("component_id").alias("comp"))
+    # components of one row need no decision
+    many = stage(got.groupBy("comp").agg(F.count("*").alias("rows_")).where("rows_ > 1").select(F.col("comp").alias("many")), "many")
+    known = docs.select(node.alias("node"), "doc_id")
+    of = got.distinct().join(many, F.col("comp") == F.col("many")).select("node", "comp")
+    of = stage(known.withColumnRenamed("node", "node_").join(of, F.col("node_") == F.col("node")).select("node", "comp", F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "node").alias("who")), "rows")
+    best = of.groupBy("comp").agg(F.min("who").alias("best"))
+    gone = stage(of.join(best, "comp").where(~F.col("who").eqNullSafe(F.col("best"))).select(F.col("node").alias("gone_")).distinct(), "gone")
+    twice = stage(of.groupBy("who").agg(F.count("*").alias("n")).where("n > 1").select(F.col("who.node").alias("twice_")).distinct(), "twice")
+    kept = docs.withColumn("node_", node).join(gone, F.col("node_") == F.col("gone_"), "left_anti")
+    once = kept.join(twice, F.col("node_") == F.col("twice_"), "left_anti")
+    return once.unionByName(kept.join(twice, F.col("node_") == F.col("twice_"), "left_semi").dropDuplicates(["node_", "doc_id"])).drop("node_")
+
+
+@settled
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)

@@ -1,26 +1,30 @@
 """Exact removal of repeated word windows, over a log-structured fingerprint index.
 
-A window is `width` consecutive words of one document. Fingerprints (64 bits to route and join, 16 more from an
-independent hash to verify) are packed into blobs per part of the hash space, so a shuffle moves about ten bytes per
-fingerprint and one task sorts and merge-joins a part.
+A window is `width` consecutive words of one document. `WindowIndex` takes a table in batches of ascending doc_id and
+decides each batch when it comes. It keeps sorted immutable runs of two kinds of window hashes (`runs`):
 
-`dedup` takes a table in batches of ascending doc_id through `AnchorRuns`, a log-structured index: the window hashes of a
-batch (a window's anchor, the least hash among its short word runs; equal windows have equal anchors) are merge-joined
-with the sorted immutable runs of all smaller documents and among themselves, then appended as a run; beyond MOST_RUNS
-the same merge writes one compacted run. What matches is verified: windows whose anchor stands in two documents are
-fingerprinted in full and decided. `FingerprintIndex` holds runs of full window fingerprints instead: larger, but a
-later batch is decided without the text of earlier ones.
+* anchors: the anchor of a window is the least hash among its short word runs, so equal windows have equal anchors, and
+  a run of anchors is several times smaller than one of windows. An entry has the only document that holds the anchor, or
+  a flag that all holders so far have been verified.
+* fingerprints of verified windows (64 bits, and 32 of an independent family of hashes): all windows of all
+  documents so far whose anchor stands in two documents or more.
 
-Before a shuffle each task keeps only the least (for anchors: least and largest) document of a fingerprint; further
-documents of its own batch are decided on the spot, so a passage that many documents share stays one entry per task.
+A batch's anchors are shuffled by part of the hash space and merge-joined with the runs; what matches is verified: the
+windows of these documents (and of the earlier documents that the match wakes) are fingerprinted in full, shuffled,
+merge-joined with the fingerprint runs, and decided. Both steps append a run; beyond MOST_RUNS the same merge writes one
+compacted run. Runs are read block by block where they lie; only the batch is shuffled.
+
+Fingerprints are packed into blobs per part, so a shuffle moves about ten bytes per fingerprint. Before a shuffle each
+task keeps only the least (for anchors: least and largest) document of a fingerprint; further documents of its own
+batch are decided on the spot, so a passage that many documents share stays one entry per task.
 
 Defined cases: a null or empty text has no words; a null doc_id is left as it is and decides nothing; repeated rows
-with one doc_id do not remove each other; an empty table gives an empty result; further columns are ignored.
+with one doc_id do not remove each other; an empty table gives an empty result; further columns are ignored, or go
+along as `keep` says.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,30 +32,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidelog.llm import wordscan
-from tidelog.llm.common import drop_path, new_path, stage, table
+from tidelog.llm.common import drop_path, new_path, settled, stage, table
+from tidelog.llm.runs import RunWriter, merged, planes, read_blocks, unplanes
 from tidelog.llm.wordscan import mix64
 
 WIDTH, ANCHOR = 13, 5
 BATCHES, MOST_RUNS = 4, 2
-#: Stands for the documents of an anchor whose holders are all marked already, and of history.
-SHARED = -(1 << 63)
 FLUSH = 2_000_000
 BROADCAST_IDS = 2_000_000
-DOCS_PER_BUCKET = 1_000
+DOCS_PER_BUCKET, DOCS_PER_PART = 1_000, 20_000
 _ROWS = "part int, hash binary, doc binary, extra binary"
 _NONE = np.zeros(0, np.int64)
-
-
-def _planes(a: np.ndarray) -> bytes:
-    """Bytes of an array by significance: slowly changing high bytes then compress well in the shuffle."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
-
-
-def _unplanes(b: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+_ANCHOR_RUN, _WINDOW_RUN = (np.uint64, np.int64, np.uint8), (np.uint64, np.uint32)
+#: Kinds of rows that a merge returns: documents of a hash, or the name of a run's file.
+MARK, FILE = 0, 1
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -65,11 +62,23 @@ def _split(part: np.ndarray, h: np.ndarray, d: np.ndarray, x: np.ndarray) -> Ite
     cut = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(part)], strict=True):
         if b > a:
-            yield int(part[a]), _planes(h[a:b]), _planes(d[a:b]), _planes(x[a:b])
+            yield int(part[a]), planes(h[a:b]), planes(d[a:b]), planes(x[a:b])
+
+
+def bucket_of(d: np.ndarray, buckets: int) -> np.ndarray:
+    """pmod(xxhash64(id), buckets), as Spark has it."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    with np.errstate(over="ignore"):
+        h = (np.uint64(42) + p5 + np.uint64(8)) ^ (turn(d.view(np.uint64) * p2, 31) * p1)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return (h ^ (h >> np.uint64(32))).view(np.int64) % buckets
 
 
-def _bucket(d: np.ndarray, buckets: int) -> np.ndarray:
-    return d % buckets
+def in_buckets(df: DataFrame, id_col: str, buckets: int) -> DataFrame:
+    return df.withColumn("part", F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(buckets)).cast("int"))
 
 
 def anchors(h: np.ndarray, row: np.ndarray, width: int, k: int) -> np.ndarray:
@@ -100,7 +109,7 @@ class _Scan:
         self.h = wordscan.span_hashes(data, s, e)
         self.f, self.at = wordscan.gram_hashes(self.h, self.row, width)
         self.doc = ids[self.row[self.at]]
-        self.check = (wordscan.gram_hashes(self.h, self.row, width, seed=0x5EED)[0] & np.uint64(0xFFFF)).astype(np.uint16) if need_check else None
+        self.check = (wordscan.gram_hashes(wordscan.span_hashes(data, s, e, family=1), self.row, width, seed=7)[0] >> np.uint64(32)).astype(np.uint32) if need_check else None
 
 
 def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -120,18 +129,18 @@ def _firsts(h: np.ndarray, x: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _anchor_rows(width: int, k: int, parts: int, buckets: int):
+    """Anchors of a task's documents, by part; documents between the first and the last of an anchor are marked at once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, ds, held = [], [], 0
 
         def flush():
             h, d = np.concatenate(hs), np.concatenate(ds)
-            zero = np.zeros(len(h), np.uint16)
-            order, first = _firsts(h, zero, d)
+            order, first = _firsts(h, np.zeros(len(h), np.uint8), d)
             h, d = h[order], d[order]
-            last = np.append(first[1:], True)
-            keep = first | last
-            part = np.where(keep, (h % np.uint64(parts)).astype(np.int64), parts + _bucket(d, buckets))
-            return _batch(list(_split(part, h, d, np.zeros(len(h), np.uint16))))
+            keep = first | np.append(first[1:], True)
+            part = np.where(keep, (h % np.uint64(parts)).astype(np.int64), parts + bucket_of(d, buckets))
+            return _batch(list(_split(part, h, d, np.zeros(len(h), np.uint32))))
 
         for batch in batches:
             for part, data, off in wordscan.chunks(batch, "text"):
@@ -156,146 +165,190 @@ def _anchor_rows(width: int, k: int, parts: int, buckets: int):
     return run
 
 
-def _collect(batches: Iterator[pa.RecordBatch], parts: int) -> tuple[list, list, list, list]:
-    """Entries of a task's parts, and rows that are already decided."""
-    hs, ds, xs, through = [], [], [], []
-    for batch in batches:
-        for part, h, d, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if part >= parts:
-                through.append((part - parts, h, d, b""))
-            else:
-                hs.append(_unplanes(h, np.uint64))
-                ds.append(_unplanes(d, np.int64))
-                xs.append(_unplanes(x, np.uint16))
-    return hs, ds, xs, through
-
-
-def _marks(batches: Iterator[pa.RecordBatch], parts: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Merge-join of a task's parts: the documents of a fingerprint after the first."""
-    hs, ds, xs, through = _collect(batches, parts)
-    if through:
-        yield _batch(through)
-    if hs:
-        h, d, x = np.concatenate(hs), np.concatenate(ds), np.concatenate(xs)
-        order, first = _firsts(h, x, d)
-        h, d = h[order][~first], d[order][~first]
-        own = d >= -(1 << 62)  # entries of history are not marked
-        h, d = h[own], d[own]
-        if len(h):
-            yield _batch([(g, a, b, b"") for g, a, b, _ in _split(_bucket(d, buckets), h, d, np.zeros(len(h), np.uint16))])
-
-
-def _deltas(h: np.ndarray) -> np.ndarray:
-    """A sorted array as its first value and differences, whose high bytes are mostly zero."""
-    return np.diff(h, prepend=h.dtype.type(0))
-
+def _merge(batches: Iterator[pa.RecordBatch], parts: int, buckets: int, folder: str, compact: bool, decide) -> Iterator[pa.RecordBatch]:
+    """Merge-join of a batch with the runs, part after part (rows come sorted by part).
 
-def _merged_runs(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One sorted entry per hash; its document, or SHARED where runs differ."""
-    order = np.lexsort((d, h))
-    h, d = h[order], d[order]
-    first = np.ones(len(h), bool)
-    first[1:] = h[1:] != h[:-1]
-    last = np.append(first[1:], True)[: len(h)]
-    return h[first], np.where(d[first] == d[last], d[first], SHARED)
-
-
-def _probe(batches: Iterator[pa.RecordBatch], parts: int, buckets: int, compact: bool) -> Iterator[pa.RecordBatch]:
-    """Merge-join of a task's parts of the runs with those of a batch: marks (run 0) and entries of the new run (run 1)."""
-    fresh, runs = ([_NONE.view(np.uint64)], [_NONE]), ([_NONE.view(np.uint64)], [_NONE])
+    decide(h, d, x, old) returns the marks (hash, document, check) and the entries of the new run, and says how to join runs.
+    Rows of a part: blobs of the batch (extra: checks) and names of run files (in hash; doc and extra are null).
+    """
 
-    def out(run: int, rows: list[tuple]) -> pa.RecordBatch:
+    def out(kind: int, rows: list[tuple]) -> pa.RecordBatch:
         got = _batch(rows)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), run, np.int32)), *(got.column(i) for i in range(3))], names=["run", "part", "hash", "doc"])
-
-    def marks(h: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-        return out(0, [r[:3] + (b"",) for r in _split(_bucket(d, buckets), h, d, np.zeros(len(h), np.uint16))])
-
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), *got.columns], names=["kind", "part", "hash", "doc", "extra"])
+
+    def done(part: int, hs: list, ds: list, xs: list, files: list[str]) -> Iterator[pa.RecordBatch]:
+        h, d, x = (np.concatenate([np.zeros(0, t), *(unplanes(b, t) for b in v)]) for v, t in ((hs, np.uint64), (ds, np.int64), (xs, np.uint32)))
+        old = lambda: [read_blocks(folder, name, decide.dtypes) for name in files]
+        (mh, md, mx), new = decide(h, d, x, old())
+        if len(mh):
+            yield out(MARK, list(_split(bucket_of(md, buckets), mh, md, mx)))
+        if len(new[0]) or (compact and files):
+            w = RunWriter(folder)
+            for cols in map(decide.joined, merged([*old(), iter([new] if len(new[0]) else [])])) if compact else [new]:
+                w.write(cols)
+            yield out(FILE, [(part, w.close().encode(), None, None)])
+
+    part, held = None, ([], [], [], [])
     for batch in batches:
         through = []
-        for part, h, d, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if part >= parts:
-                through.append((part - parts, h, d, b""))
+        for p, h, d, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if p >= parts:
+                through.append((p - parts, h, d, x))
+                continue
+            if p != part and part is not None:
+                yield from done(part, *held)
+                held = ([], [], [], [])
+            part = p
+            if d is None:
+                held[3].append(h.decode())
             else:
-                old = x == b"run"
-                to = runs if old else fresh
-                h = _unplanes(h, np.uint64)
-                to[0].append(np.cumsum(h, dtype=np.uint64) if old else h)
-                to[1].append(_unplanes(d, np.int64))
+                for to, v in zip(held, (h, d, x), strict=False):
+                    to.append(v)
         if through:
-            yield out(0, through)
-    old_h, old_d = _merged_runs(np.concatenate(runs[0]), np.concatenate(runs[1]))
-    h, d = np.concatenate(fresh[0]), np.concatenate(fresh[1])
-    order, first = _firsts(h, np.zeros(len(h), np.uint16), d)
-    h, d = h[order], d[order]
-    start = np.flatnonzero(first)
-    keys, size = h[start], np.diff(np.append(start, len(h)))
-    at = np.minimum(np.searchsorted(old_h, keys), max(len(old_h) - 1, 0))
-    hit = old_h[at] == keys if len(old_h) else np.zeros(len(keys), bool)
-    shared = hit | (size > 1)
-    use = np.repeat(shared, size)
-    woken = at[hit]
-    woken = woken[old_d[woken] != SHARED]
-    if use.any() or len(woken):
-        yield marks(np.append(h[use], old_h[woken]), np.append(d[use], old_d[woken]))
-    new_h, new_d = keys, np.where(shared, SHARED, d[start])
-    if compact:
-        new_h, new_d = _merged_runs(np.append(old_h, new_h), np.append(old_d, new_d))
-    part = (new_h % np.uint64(parts)).astype(np.int64)
-    for p in np.unique(part).tolist():
-        ph, pd_ = new_h[part == p], new_d[part == p]
-        yield out(1, [(p, _planes(_deltas(ph[a : a + FLUSH])), _planes(pd_[a : a + FLUSH]), b"") for a in range(0, len(ph), FLUSH)])
-
-
-class AnchorRuns:
-    """Log-structured index of window anchors: immutable runs sorted by part and hash, under the shared folder.
-
-    Batches come in ascending order of doc_id, and no doc_id in two of them. An entry is the anchor and the only document
-    that holds it, or SHARED: then all of its holders were marked before.
-    """
-
-    def __init__(self, spark: SparkSession, width: int, anchor: int, parts: int, buckets: int, most_runs: int = MOST_RUNS):
-        self.spark, self.width, self.anchor, self.parts, self.buckets, self.most_runs = spark, width, anchor, parts, buckets, most_runs
-        self.runs: list[str] = []
-        self.marks: list[str] = []
-
-    def add(self, batch: DataFrame) -> None:
-        """Merge-join a batch with all runs; append its run, or compact where that would be one run too many."""
-        parts, buckets, compact = self.parts, self.buckets, len(self.runs) >= self.most_runs
-        rows = batch.mapInArrow(_anchor_rows(self.width, self.anchor, parts, buckets), _ROWS)
-        if self.runs:
-            rows = rows.unionByName(self._read(self.runs, 1).withColumn("extra", F.lit(b"run")))
+            yield out(MARK, through)
+    if part is not None:
+        yield from done(part, *held)
+
+
+class _Anchors:
+    """Anchors: marks are all documents of an anchor that two have, and its only holder in the runs."""
+
+    dtypes = _ANCHOR_RUN
+
+    def __call__(self, h, d, x, old):
+        order, first = _firsts(h, np.zeros(len(h), np.uint8), d)
+        h, d = h[order], d[order]
+        start = np.flatnonzero(first)
+        keys, size = h[start], np.diff(np.append(start, len(h)))
+        hit, known, holder = np.zeros(len(keys), bool), np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        for stream in old:
+            for bh, bd, bs in stream:
+                lo, hi = np.searchsorted(keys, bh[0], "left"), np.searchsorted(keys, bh[-1], "right")
+                at = np.searchsorted(bh, keys[lo:hi])  # inside the block: no key here is above its last hash
+                same = np.flatnonzero(bh[at] == keys[lo:hi])
+                hit[lo + same] = True
+                known[lo + same] |= bs[at[same]] > 0
+                holder[lo + same] = bd[at[same]]
+        shared, woken = hit | (size > 1), hit & ~known
+        use = np.repeat(shared, size)
+        mh, md = np.append(h[use], keys[woken]), np.append(d[use], holder[woken])
+        new = ~(hit & known)
+        return (mh, md, np.zeros(len(mh), np.uint32)), (keys[new], d[start][new], shared[new].astype(np.uint8))
+
+    @staticmethod
+    def joined(cols):
+        """One entry of each anchor; flagged if any run or two runs have it."""
+        h, d, s = cols
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        at = np.flatnonzero(first)
+        return h[first], d[first], np.maximum(np.maximum.reduceat(s, at), (np.diff(np.append(at, len(h))) > 1).astype(np.uint8))
+
+
+class _Windows:
+    """Fingerprints: marks are the documents after the first, and the first as well where a run has the window."""
+
+    dtypes = _WINDOW_RUN
+
+    def __call__(self, h, d, x, old):
+        order, first = _firsts(h, x, d)
+        h, d, x = h[order], d[order], x[order]
+        start = np.flatnonzero(first)
+        keys, checks = h[start], x[start]
+        hit = np.zeros(len(keys), bool)
+        for stream in old:
+            for bh, bc in stream:
+                lo, hi = np.searchsorted(keys, bh[0], "left"), np.searchsorted(keys, bh[-1], "right")
+                at = np.searchsorted(bh, keys[lo:hi])
+                left = np.arange(lo, hi)
+                while len(left):  # windows of one hash and several checks stand side by side
+                    ok = at < len(bh)
+                    left, at = left[ok], at[ok]
+                    ok = bh[at] == keys[left]
+                    left, at = left[ok], at[ok]
+                    hit[left[bc[at] == checks[left]]] = True
+                    at = at + 1
+        mark = ~first
+        mark[start[hit]] = True
+        return (h[mark], d[mark], x[mark]), (keys[~hit], checks[~hit])
+
+    @staticmethod
+    def joined(cols):
+        h, c = cols
+        order = np.lexsort((c, h))
+        h, c = h[order], c[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+        return h[new], c[new]
+
+
+class _Log:
+    """Runs of one kind, and the merge that appends to them."""
+
+    def __init__(self, spark: SparkSession, name: str, parts: int, buckets: int, most_runs: int, decide):
+        self.spark, self.parts, self.buckets, self.most_runs, self.decide = spark, parts, buckets, most_runs, decide
+        self.folder = new_path(spark, name)
+        self.runs: list[DataFrame] = []
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Merge-join the rows of a batch with all runs, append its run (or write one compacted run); the staged marks."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        path = new_path(self.spark, "run")
-        got = rows.repartition(n, "part").mapInArrow(lambda it: _probe(it, parts, buckets, compact), "run int, part int, hash binary, doc binary")
-        got.write.option("compression", "zstd").partitionBy("run").parquet(path)
-        self.marks.append(path)
-        if compact:
-            for old in self.runs:
-                drop_path(self.spark, f"{old}/run=1")
-            self.runs = []
-        self.runs.append(path)
-
-    def _read(self, paths: list[str], run: int) -> DataFrame:
-        """Entries of runs (1) or marks (0) of the given writes; a write may have none."""
-        every = [self.spark.read.schema("part int, hash binary, doc binary, run int").parquet(p).where(F.col("run") == run).drop("run") for p in paths]
-        return reduce(DataFrame.unionByName, every)
-
-    def shared(self) -> DataFrame:
-        """Anchors that stand in two documents at least, with their documents, by bucket of the document."""
-        return self._read(self.marks, 0).withColumn("extra", F.lit(b""))
-
-
-def id_batches(docs: DataFrame, count: int) -> list[DataFrame]:
-    """Batches of about equal numbers of rows in ascending order of doc_id; equal ids stay together, null ids go out."""
+        parts, buckets, folder, decide, compact = self.parts, self.buckets, self.folder, self.decide, len(self.runs) >= self.most_runs
+        for run in self.runs:
+            rows = rows.unionByName(run)
+        merge = lambda it: _merge(it, parts, buckets, folder, compact, decide)
+        got = rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(merge, "kind int, " + _ROWS)
+        got = stage(got, "merged")
+        files = got.where(F.col("kind") == FILE).drop("kind")
+        self.runs = [files] if compact else [*self.runs, files]
+        return got.where(F.col("kind") == MARK).drop("kind")
+
+
+class WindowIndex:
+    """Log-structured index of windows under the shared folder. Batches come in ascending order of doc_id, no doc_id in two."""
+
+    def __init__(self, spark: SparkSession, width: int = WIDTH, anchor: int = ANCHOR, parts: int = 64, buckets: int = 64, most_runs: int = MOST_RUNS):
+        self.spark, self.width, self.anchor, self.parts, self.buckets = spark, width, anchor, parts, buckets
+        self.anchors = _Log(spark, "anchors", parts, buckets, most_runs, _Anchors())
+        self.windows = _Log(spark, "windows", parts, buckets, most_runs, _Windows())
+        self.taken: list[DataFrame] = []
+
+    def decide(self, batch: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+        """The windows to remove from a batch (staged), by bucket of the document; the batch is then part of the index.
+
+        texts: all documents so far, with the batch (else the batches themselves, one after the other).
+        """
+        width, k, parts, buckets = self.width, self.anchor, self.parts, self.buckets
+        batch = batch.select("doc_id", "text").where("doc_id is not null")
+        found = self.anchors.add(batch.mapInArrow(_anchor_rows(width, k, parts, buckets), _ROWS))
+        self.taken.append(batch)
+        texts = reduce(DataFrame.unionByName, self.taken) if texts is None else texts.select("doc_id", "text")
+        some, _ = _of_marked(texts, found)
+        windows = in_buckets(some, "doc_id", buckets).groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_window_rows(width, k, parts, buckets), _ROWS)
+        return self.windows.add(windows)
+
+    def add(self, batch: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        """(doc_id, n_words, n_removed, kept) of a new batch, against all history and itself."""
+        return cleaned(batch, self.decide(batch), self.width, self.buckets, keep)
+
+    def drop(self) -> None:
+        """Delete the run files; marks that were returned stay."""
+        for log in (self.anchors, self.windows):
+            drop_path(self.spark, log.folder)
+
+
+def id_batches(docs: DataFrame, count: int) -> list[tuple[DataFrame, DataFrame]]:
+    """Batches of about equal numbers of rows in ascending order of doc_id, each with all documents up to its end.
+
+    Equal ids stay together; null ids go out.
+    """
     at = [i / count for i in range(1, count)]
     cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", at, 1000)).first()[0] or ())) if at else []
-    edges = [None, *cuts, None]
-    out = []
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        df = docs.where("doc_id is not null")
-        df = df if lo is None else df.where(F.col("doc_id") >= lo)
-        out.append(df if hi is None else df.where(F.col("doc_id") < hi))
+    out, lo = [], None
+    for hi in [*cuts, None]:
+        texts = docs.where("doc_id is not null") if hi is None else docs.where(F.col("doc_id") < hi)
+        out.append((texts if lo is None else texts.where(F.col("doc_id") >= lo), texts))
+        lo = hi
     return out
 
 
@@ -303,57 +356,55 @@ def _pair(h: np.ndarray, d: np.ndarray) -> np.ndarray:
     return mix64(h ^ mix64(d.view(np.uint64)))
 
 
-def _marked(right: pa.Table) -> np.ndarray:
-    got = [_pair(_unplanes(h, np.uint64), _unplanes(d, np.int64)) for h, d in zip(right.column("hash").to_pylist(), right.column("doc").to_pylist(), strict=True)]
-    return np.unique(np.concatenate(got)) if got else np.zeros(0, np.uint64)
-
-
-def _flush_windows(fs, cs, ds, parts: int, buckets: int, decide: bool):
-    f, c, d = np.concatenate(fs), np.concatenate(cs), np.concatenate(ds)
-    order, first = _firsts(f, c, d)
-    f, c, d = f[order], c[order], d[order]
-    if not decide:
-        f, c, d, first = f[first], c[first], d[first], first[first]
-    return _batch(list(_split(np.where(first, (f % np.uint64(parts)).astype(np.int64), parts + _bucket(d, buckets)), f, d, c)))
+class _Marks:
+    """Marked (hash, check) pairs of documents."""
+
+    def __init__(self, right: pa.Table):
+        got = [(_pair(unplanes(h, np.uint64), unplanes(d, np.int64)), unplanes(x, np.uint32)) for h, d, x in zip(*(right.column(c).to_pylist() for c in ("hash", "doc", "extra")), strict=True)]
+        pair, check = (np.concatenate(v) for v in zip(*got, strict=True)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        order = np.lexsort((check, pair))
+        self.pair, self.check = pair[order], check[order]
+
+    def __len__(self):
+        return len(self.pair)
+
+    def has(self, h: np.ndarray, d: np.ndarray, check: np.ndarray | None) -> np.ndarray:
+        out = np.zeros(len(h), bool)
+        if not len(self.pair):
+            return out
+        pair = _pair(h, d)
+        lo, hi = np.searchsorted(self.pair, pair, "left"), np.searchsorted(self.pair, pair, "right")
+        if check is None:
+            return hi > lo
+        left = np.flatnonzero(hi > lo)
+        at = lo[left]
+        while len(left):
+            out[left[self.check[at] == check[left]]] = True
+            ok = at + 1 < hi[left]
+            left, at = left[ok], at[ok] + 1
+        return out
 
 
 def _window_rows(width: int, k: int, parts: int, buckets: int):
-    """Cogroup of documents and shared anchors: fingerprints of the windows that can repeat."""
+    """Cogroup of documents and shared anchors: fingerprints of the windows that can repeat; later holders in the bucket are marked at once."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        shared, fs, cs, ds = _marked(right), [], [], []
+        shared, fs, cs, ds = _Marks(right), [], [], []
         if len(shared):
             for batch in left.select(["doc_id", "text"]).combine_chunks().to_batches():
                 for part, data, off in wordscan.chunks(batch, "text"):
-                    ids, ok = _ids(part)
+                    ids, _ = _ids(part)
                     s = _Scan(data, off, ids, width)
-                    use = ok[s.row[s.at]] & np.isin(_pair(anchors(s.h, s.row, width, k), s.doc), shared)
+                    use = shared.has(anchors(s.h, s.row, width, k), s.doc, None)
                     fs.append(s.f[use])
                     cs.append(s.check[use])
                     ds.append(s.doc[use])
-        rows = _flush_windows(fs, cs, ds, parts, buckets, True) if fs and sum(map(len, fs)) else _batch([])
-        return pa.Table.from_batches([rows])
-
-    return run
-
-
-def _all_window_rows(width: int, parts: int, buckets: int, decide: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, cs, ds, held = [], [], [], 0
-        for batch in batches:
-            for part, data, off in wordscan.chunks(batch, "text"):
-                ids, ok = _ids(part)
-                s = _Scan(data, off, ids, width)
-                use = ok[s.row[s.at]]
-                fs.append(s.f[use])
-                cs.append(s.check[use])
-                ds.append(s.doc[use])
-                held += int(use.sum())
-                if held >= FLUSH:
-                    yield _flush_windows(fs, cs, ds, parts, buckets, decide)
-                    fs, cs, ds, held = [], [], [], 0
-        if held:
-            yield _flush_windows(fs, cs, ds, parts, buckets, decide)
+        if not fs or not sum(map(len, fs)):
+            return pa.Table.from_batches([_batch([])])
+        f, c, d = np.concatenate(fs), np.concatenate(cs), np.concatenate(ds)
+        order, first = _firsts(f, c, d)
+        f, c, d = f[order], c[order], d[order]
+        return pa.Table.from_batches([_batch(list(_split(np.where(first, (f % np.uint64(parts)).astype(np.int64), parts + bucket_of(d, buckets)), f, d, c)))])
 
     return run
 
@@ -378,59 +429,50 @@ def _kept(data: np.ndarray, off: np.ndarray, s: _Scan, hit: np.ndarray) -> Itera
             yield int(words[i]), int(removed[i]), b" ".join(raw[x:y] for x, y in zip(s.starts[keep].tolist(), s.ends[keep].tolist(), strict=True))
 
 
-def _result(width: int):
-    names = ["doc_id", "n_words", "n_removed", "kept"]
-
-    def rows(batch: pa.RecordBatch, marks: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _result(width: int, schema: pa.Schema):
+    def rows(batch: pa.RecordBatch, marks: _Marks | None) -> Iterator[pa.RecordBatch]:
         for part, data, off in wordscan.chunks(batch, "text"):
             ids, ok = _ids(part)
-            s = _Scan(data, off, ids, width, need_check=False)
-            hit = s.at[ok[s.row[s.at]] & np.isin(_pair(s.f, s.doc), marks)] if marks is not None and len(marks) else _NONE
+            s = _Scan(data, off, ids, width, need_check=bool(marks))
+            hit = s.at[ok[s.row[s.at]] & marks.has(s.f, s.doc, s.check)] if marks else _NONE
             got = list(zip(*_kept(data, off, s, hit), strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.binary()).cast(pa.string())], names=names)
+            own = [pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *own, *part.columns[2:]], schema=schema)
 
     return rows
 
 
-_RESULT = "doc_id long, n_words long, n_removed long, kept string"
-
-
-def dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, history: DataFrame | None = None, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) of every row.
-
-    Without history, docs go through `AnchorRuns` in batches of ascending doc_id; their number changes no result.
-    history: rows of full-window runs, which count as seen before all docs.
-    """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 2 * n
-    buckets = max(n, docs.count() // DOCS_PER_BUCKET)
-    by_bucket = lambda d: d.withColumn("part", F.pmod(F.col("doc_id"), F.lit(buckets)).cast("int"))
-    merge = lambda rows: rows.repartition(n, "part").mapInArrow(lambda it: _marks(it, parts, buckets), _ROWS)
-    if history is None:
-        index = AnchorRuns(spark, width, anchor, parts, buckets)
-        for batch in id_batches(docs, batches):
-            index.add(batch)
-        found = index.shared()
-        some, _ = _of_marked(docs, found)
-        windows = by_bucket(some).groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_window_rows(width, anchor, parts, buckets), _ROWS)
-    else:
-        windows = docs.mapInArrow(_all_window_rows(width, parts, buckets, True), _ROWS).unionByName(_as_old(history, parts))
-    marks = stage(merge(windows), "marks")
+def cleaned(docs: DataFrame, marks: DataFrame, width: int, buckets: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) and the columns `keep` (under a leading _) of every row, from the windows to remove."""
+    docs = docs.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in keep])
     some, rest = _of_marked(docs, marks)
-    rows = _result(width)
+    ddl = docs.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept"), *docs.columns[2:]).schema
+    schema = to_arrow_schema(ddl)
+    schema = pa.schema([pa.field(f.name, f.type) for f in schema])
+    rows, names = _result(width, schema), docs.columns
 
     def plain(batches):
         for batch in batches:
             yield from rows(batch, None)
 
-    def cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
-        seen = _marked(right)
-        got = [x for b in left.select(["doc_id", "text"]).combine_chunks().to_batches() for x in rows(b, seen)]
-        return pa.Table.from_batches(got, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        seen = _Marks(right)
+        return pa.Table.from_batches([x for b in left.select(names).combine_chunks().to_batches() for x in rows(b, seen)], schema=schema)
+
+    return rest.mapInArrow(plain, ddl).unionByName(in_buckets(some, "doc_id", buckets).groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(cut, ddl))
 
-    return rest.mapInArrow(plain, _RESULT).unionByName(by_bucket(some).groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(cleaned, _RESULT))
+
+def dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, batches: int = BATCHES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) of every row, and the columns `keep` under a leading _.
+
+    docs go through `WindowIndex` in batches of ascending doc_id; their number changes no result.
+    """
+    spark = docs.sparkSession
+    n, rows = int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count()
+    index = WindowIndex(spark, width, anchor, max(2 * n, rows // DOCS_PER_PART), max(n, rows // DOCS_PER_BUCKET))
+    marks = reduce(DataFrame.unionByName, [index.decide(*batch) for batch in id_batches(docs, batches)])
+    index.drop()
+    return cleaned(docs, marks, width, index.buckets, keep)
 
 
 def _of_marked(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -438,69 +480,14 @@ def _of_marked(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [np.unique(_unplanes(x, np.int64)) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(got)) if got else _NONE)], names=["id"])
+            got = [np.unique(unplanes(x, np.int64)) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(got)) if got else _NONE)], names=["id_"])
 
-    known = stage(marks.select("doc").mapInArrow(ids, "id long").distinct(), "ids")
+    known = stage(marks.select("doc").mapInArrow(ids, "id_ long").distinct(), "ids")
     small = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
-    return docs.join(small, docs["doc_id"] == small["id"], "left_semi"), docs.join(small, docs["doc_id"] == small["id"], "left_anti")
-
-
-def _as_old(history: DataFrame, parts: int) -> DataFrame:
-    """Run rows for the parts of this job, with a document number below all others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, x = _unplanes(h, np.uint64), _unplanes(x, np.uint16)
-                yield _batch(list(_split((h % np.uint64(parts)).astype(np.int64), h, np.full(len(h), SHARED, np.int64), x)))
-
-    return history.select("hash", "extra").mapInArrow(run, _ROWS)
-
-
-class FingerprintIndex:
-    """Immutable sorted runs of window fingerprints under a folder of the shared store."""
-
-    def __init__(self, spark: SparkSession, folder: str, width: int = WIDTH, parts: int = 64, most_runs: int = 4):
-        self.spark, self.folder, self.width, self.parts, self.most_runs = spark, folder, width, parts, most_runs
-        self.runs: list[str] = []
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(_ROWS).parquet(*paths)
-
-    def _write(self, rows: DataFrame) -> None:
-        parts = self.parts
-
-        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hs, ds, xs, _ = _collect(batches, parts)
-            if hs:
-                h, d, x = np.concatenate(hs), np.concatenate(ds), np.concatenate(xs)
-                order, first = _firsts(h, x, d)
-                order = order[first]  # sorted by hash: one entry per window
-                part = (h[order] % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(part, kind="stable")
-                order, part = order[by], part[by]
-                cut = np.flatnonzero(np.diff(part)) + 1
-                yield _batch([(int(part[a]), _planes(h[order[a:b]]), _planes(d[order[a:b]]), _planes(x[order[a:b]])) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(part)], strict=True)])
-
-        path = f"{self.folder}/run-{len(self.runs)}-{hashlib.sha1(repr(self.runs).encode()).hexdigest()[:8]}"
-        rows.repartition(min(parts, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "part").mapInArrow(merged, _ROWS).sortWithinPartitions("part").write.parquet(path)
-        self.runs.append(path)
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Dedup a new batch against all history and itself, then append its run; compacts beyond most_runs."""
-        out = stage(dedup(batch, self.width, history=self._read(self.runs) if self.runs else None), "batch")
-        self._write(batch.select("doc_id", "text").mapInArrow(_all_window_rows(self.width, self.parts, 1, False), _ROWS))
-        if len(self.runs) > self.most_runs:
-            self.compact()
-        return out
-
-    def compact(self) -> None:
-        """Merge all runs into one; the old files stay until the folder is dropped, so readers are not disturbed."""
-        old, self.runs = self.runs, list(self.runs)
-        self._write(self._read(old))
-        self.runs = self.runs[-1:]
+    return docs.join(small, docs["doc_id"] == small["id_"], "left_semi"), docs.join(small, docs["doc_id"] == small["id_"], "left_anti")
 
 
+@settled
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -16,8 +16,10 @@ _IS_WS = np.zeros(256, bool)
 _IS_WS[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bases of independent families of hashes; the last one is for runs of words.
+_BASES = (0x9E3779B97F4A7C15, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+_RUNS = 2
+_powers: dict[int, list[np.ndarray]] = {}
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -29,14 +31,16 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+def _pow(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the family's odd base and of its inverse modulo 2**64."""
+    if family not in _powers or len(_powers[family][0]) < n:
+        got = []
+        for base in (_BASES[family], pow(_BASES[family], -1, 1 << 64)):
             p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+            p[:1] = 1
+            got.append(np.cumprod(p, dtype=np.uint64))
+        _powers[family] = got
+    return _powers[family][0][:n], _powers[family][1][:n]
 
 
 def chunks(batch: pa.RecordBatch, col: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -71,11 +75,14 @@ def bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte span: polynomial over 2**64 by prefix sums, then finalised with the length."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span: polynomial over 2**64 by prefix sums, then finalised with the length.
+
+    Hashes of another family come from another base, so they are independent of those of the first.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    p, q = _pow(max(len(data), 1))
+    p, q = _pow(max(len(data), 1), family)
     b = _LOWER[data] if lower else data
     pre = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * p, out=pre[1:])
@@ -83,16 +90,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
 
 
 def gram_hashes(h: np.ndarray, doc: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of k words inside one row, and the index of each run's first word."""
+    """Hashes of all runs of k words inside one row (a polynomial in the words' hashes), and the index of each run's first word."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.flatnonzero(doc[:n] == doc[k - 1 :])
-    acc = np.full(len(at), seed, np.uint64)
-    for i in range(k):
-        acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + h[at + i] + np.uint64(i + 1))
-    return acc, at
-
-
-def per_row(counts_at: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(counts_at, minlength=n)
+    p, q = _pow(len(h), _RUNS)
+    pre = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * p, out=pre[1:])
+    return mix64((pre[at + k] - pre[at]) * q[at] + np.uint64((seed * 0x9E3779B97F4A7C15 + k) & 0xFFFFFFFFFFFFFFFF)), at
