@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import wordscan
-from tidelog.llm.common import crc_mod, stage, table, unit_hash
+from tidelog.llm.common import crc_mod, settled, stage, table, unit_hash
 
 CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -88,18 +88,6 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.column_stack(cols).astype(np.float32)
 
 
-def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, data, off in wordscan.chunks(batch, "text"):
-            x = features(data, off)
-            flat = pa.array(x.ravel())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), flat)], names=["doc_id", "x"])
-
-
-def document_features(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_feature_batches, "doc_id long, x array<float>")
-
-
 class Forest:
     """Flat arrays of all trees: node i tests x[feature[i]] <= cut[i]; leaves point to themselves."""
 
@@ -107,6 +95,8 @@ class Forest:
         self.feature, self.cut, self.left, self.right, self.value, self.roots, self.base, self.depth = feature, cut, left, right, value, roots, base, depth
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        if len(x) > 4096:
+            return np.concatenate([self.score(x[i : i + 4096]) for i in range(0, len(x), 4096)])
         if not len(self.roots):
             return np.full(len(x), 1 / (1 + np.exp(-self.base)))
         at = np.repeat(self.roots[None, :], len(x), axis=0)
@@ -170,32 +160,56 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, ra
     return Forest(*(np.array(a) for a in (feature, cut, left, right, value, roots)), base, depth)
 
 
-def fit(feats: DataFrame, labels: DataFrame, train, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Forest:
-    """Fit on at most about sample_rows labelled rows for which the `train` condition holds, chosen by a hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, train, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Forest:
+    """Fit on at most about sample_rows labelled rows for which the `train` condition holds, chosen by a hash of the id.
+
+    Statistics are taken of the chosen documents only. Their ids are broadcast: sample_rows bounds them, by the limit.
+    """
     known = labels.where(F.col(label).isin(0, 1) & train).groupBy("doc_id").agg(F.min(label).alias("y"))
     share = min(1.0, sample_rows / max(1, known.count()))
-    got = feats.join(known.where(unit_hash("doc_id", seed=5) < share), "doc_id").select("doc_id", "x", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * sample_rows).collect()
+    chosen = known.where(unit_hash("doc_id", seed=5) < share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample_rows).withColumnRenamed("doc_id", "id_")
+    some = docs.select("doc_id", "text").join(F.broadcast(stage(chosen, "chosen")), F.col("doc_id") == F.col("id_"))
+    got = some.select("y", "doc_id", "text").mapInArrow(_labelled_batches, "y int, doc_id long, x array<float>").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * sample_rows).collect()
     x = np.array([r["x"] for r in got], np.float32).reshape(-1, len(NAMES))
     return fit_forest(x, np.array([r["y"] for r in got], float))
 
 
-def score(feats: DataFrame, forest: Forest) -> DataFrame:
+def _labelled_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, data, off in wordscan.chunks(batch, "text"):
+            x = features(data, off)
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), part.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))], names=["y", "doc_id", "x"])
+
+
+def _scores(batch: pa.RecordBatch, forest: Forest) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for part, data, off in wordscan.chunks(batch, "text"):
+        yield part, forest.score(features(data, off))
+
+
+def score(docs: DataFrame, forest: Forest) -> DataFrame:
+    """(doc_id, score) of every row, in one pass over the texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                x = np.asarray(part.column(1).flatten()).reshape(-1, len(NAMES))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(forest.score(x))], names=["doc_id", "score"])
+            for part, got in _scores(batch, forest):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got)], names=["doc_id", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
 
-    return feats.mapInArrow(run, "doc_id long, score double")
+def good(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least `least`. Each row is judged by itself: no join."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, got in _scores(batch, forest):
+                yield part.filter(pa.array(got >= least))
 
-def fitted(spark, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, Forest]:
-    """Staged statistics of docs and the forest learned from the labelled ones outside the held-out third."""
-    feats = stage(document_features(docs), "features")
-    return feats, fit(feats, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    return docs.mapInArrow(run, docs.schema)
 
 
+@settled
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    feats, forest = fitted(spark, table(spark, sf_dir, "documents"), sf_dir)
-    return score(feats, forest).select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    docs = table(spark, sf_dir, "documents")
+    forest = fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    return score(docs, forest).select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
