@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import stage, table
+from tidelog.llm.common import settled, stage, table
 
 CAPACITY = 4096
 CACHE_WORDS = 250_000
-SALTS = 64
+ROWS_PER_SALT = 50_000
 _cache: dict[bytes, bytes] = {}
 _old: dict[bytes, bytes] = {}
 _loaded: dict[str, object] = {}
@@ -278,11 +278,13 @@ def best_plan(hist: dict[int, int], capacity: int = CAPACITY, groups: tuple[int,
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset. Ranks within a length come from salted counts, so a hot length spreads over tasks."""
+    """Adds sequence_id and offset. Ranks within a length come from salted counts; a length has a salt per ROWS_PER_SALT rows, so a hot one spreads over tasks."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
-    cells = stage(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")  # at most capacity * SALTS rows
-    hist = {int(r["length"]): int(r["n"]) for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    hist = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    salts = F.broadcast(spark.createDataFrame([(k, 1 + v // ROWS_PER_SALT) for k, v in hist.items()], "length long, salts long"))
+    own = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
+    salted = pieces.join(salts, "length").withColumn("salt", F.pmod(own, F.col("salts"))).drop("salts")
+    cells = stage(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
     runs = best_plan(hist, capacity)
     ahead = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     ahead_of = cells.select("length", "salt", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
@@ -316,5 +318,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long")).mapInArrow(run, _SCHEMA + ", sequence_id long, offset long")
 
 
+@settled
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     return pack(stage(tokenized_pieces(table(spark, sf_dir, "documents"), default_vocabulary()), "pieces"))
