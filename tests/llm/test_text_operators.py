@@ -4,11 +4,14 @@ import collections
 import hashlib
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from conftest_words import words
+from pyspark.sql import functions as F
 
-from tidelog.llm import boosted_quality, language_id, mixing, ngram_join, packing, quality_rules, registry, substring_dedup
+from tidelog.llm import boosted_quality, language_id, mixing, ngram_join, packing, quality_rules, registry, runs, substring_dedup
+from tidelog.llm.common import crc_mod
 
 
 def brute_dedup(rows, width=13, seen=()):
@@ -33,49 +36,65 @@ def test_substring_dedup(spark, rows, fixture_dir):
     assert sorted([tuple(r) for r in got], key=str) == brute_dedup(rows)
 
 
+def removed(got):
+    return sorted([(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got], key=str)
+
+
 @pytest.mark.parametrize("batches,most_runs", [(1, 2), (3, 1), (7, 3)])
 def test_batches_and_compaction_change_nothing(spark, rows, docs, monkeypatch, batches, most_runs):
-    made = []
-    init = substring_dedup.AnchorRuns.__init__
+    made, init = [], substring_dedup.WindowIndex.__init__
 
     def keep(self, *args):
         init(self, *args, most_runs=most_runs)
         made.append(self)
 
-    monkeypatch.setattr(substring_dedup.AnchorRuns, "__init__", keep)
-    got = substring_dedup.dedup(docs, batches=batches).collect()
-    assert sorted([(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got], key=str) == brute_dedup(rows)
-    assert len(made) == 1 and len(made[0].marks) == batches and len(made[0].runs) <= most_runs
+    monkeypatch.setattr(substring_dedup.WindowIndex, "__init__", keep)
+    monkeypatch.setattr(runs, "BLOCK", 64)  # so that runs have many blocks
+    assert removed(substring_dedup.dedup(docs, batches=batches).collect()) == brute_dedup(rows)
+    assert len(made) == 1 and len(made[0].anchors.runs) <= most_runs and len(made[0].windows.runs) <= most_runs
+
+
+def test_every_batch_is_decided_when_it_comes(spark, rows, docs):
+    index = substring_dedup.WindowIndex(spark, parts=6, buckets=5, most_runs=2)
+    known, got = [r for r in rows if r[0] is not None], []
+    for lo in range(0, 160, 40):
+        got += removed(index.add(docs.where(f"doc_id >= {lo} and doc_id < {lo + 40}")).collect())
+        assert sorted(got, key=str) == brute_dedup([r for r in known if r[0] < lo + 40])  # no later batch is needed
+    assert len(index.anchors.runs) <= 2 and len(index.windows.runs) <= 2
 
 
 def test_runs_are_sorted_and_wake_single_holders(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(i, text if i in (1, 12, 23) else " ".join(f"x{i}y{k}" for k in range(30))) for i in range(30)], "doc_id long, text string")
-    index = substring_dedup.AnchorRuns(spark, 13, 5, 4, 3)
+    index = substring_dedup.WindowIndex(spark, parts=4, buckets=3)
+    marked = []
     for lo in (0, 10, 20):
-        index.add(docs.where(f"doc_id >= {lo} and doc_id < {lo + 10}"))
-    assert len(index.runs) == 1  # two runs and a compaction
-    marked = set()
-    for r in index.shared().collect():
-        marked |= set(substring_dedup._unplanes(r.doc, np.int64).tolist())
-    assert marked == {1, 12, 23}
-    for r in index._read(index.runs, 1).collect():
-        h = np.cumsum(substring_dedup._unplanes(r.hash, np.uint64), dtype=np.uint64)
-        d = substring_dedup._unplanes(r.doc, np.int64)
-        assert (h[1:] > h[:-1]).all() and (h % np.uint64(4) == r.part).all() and not set(d.tolist()) & {1, 12, 23}
-
-
-def test_incremental_index_equals_one_batch(spark, rows, docs, tmp_path):
-    index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"), parts=8, most_runs=2)
-    known = [r for r in rows if r[0] is not None]
-    want = {(r[0], r[2]) for r in brute_dedup(known)}
-    got = set()
-    for lo in range(0, 160, 40):
-        got |= {(r.doc_id, r.n_removed) for r in index.add(docs.where(f"doc_id >= {lo} and doc_id < {lo + 40}")).collect()}
-    assert got == want and len(index.runs) <= 3
-    index.compact()
-    again = index.add(docs.where("doc_id = 0")).first()
-    assert again.n_removed == again.n_words and len(index.runs) == 2
+        got = index.decide(docs.where(f"doc_id >= {lo} and doc_id < {lo + 10}")).collect()
+        marked.append({int(d) for r in got for d in runs.unplanes(r.doc, np.int64)})
+    assert marked == [set(), {12}, {23}]
+    assert len(index.anchors.runs) == 1  # two runs and a compaction
+    for log, dtypes in ((index.anchors, substring_dedup._ANCHOR_RUN), (index.windows, substring_dedup._WINDOW_RUN)):
+        found = 0
+        for run in log.runs:
+            for r in run.collect():
+                for block in runs.read_blocks(log.folder, r.hash.decode(), dtypes):
+                    h = block[0]
+                    assert (h[1:] > h[:-1]).all() and (h % np.uint64(4) == r.part).all()
+                    found += len(h)
+        assert found > 0 if log is index.anchors else found == 28
+
+
+def test_buckets_agree_with_spark(spark):
+    ids = np.array([0, 1, -1, 5, 1 << 62, -(1 << 63), (1 << 63) - 1, 123456789], np.int64)
+    got = {r.i: r.part for r in substring_dedup.in_buckets(spark.createDataFrame([(int(i),) for i in ids], "i long"), "i", 97).collect()}
+    assert [got[int(i)] for i in ids] == substring_dedup.bucket_of(ids, 97).tolist()
+
+
+def test_ids_at_the_ends_and_in_strides(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    ids = [-(1 << 63), -(1 << 62) - 5, -1, 0, 1000, 2000, (1 << 63) - 1]
+    got = substring_dedup.dedup(spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {i: 0 if i == ids[0] else 20 for i in ids}
 
 
 def brute_components(rows, k, percent):
@@ -304,33 +323,199 @@ def test_empty_tables(spark, empty_dir, name):
     assert registry.QUERIES[name](spark, empty_dir).count() == 0
 
 
-def test_pipeline(spark, fixture_dir, empty_dir):
-    import corpus_pipeline
+PLAIN = "doc_id long, text string, lang string, source string, n_chars long"
 
-    docs = spark.read.parquet(f"{fixture_dir}/documents.parquet")
-    for name, step in corpus_pipeline.STAGES[:-1]:
-        out = step(spark, docs, fixture_dir)
-        assert tuple(out.columns) == corpus_pipeline.COLUMNS, name
-    assert corpus_pipeline.run(spark, fixture_dir).count() > 0
-    assert corpus_pipeline.run(spark, empty_dir).count() == 0
 
+def plain(docs):
+    return [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
 
-def test_pipeline_decides_by_row(spark, fixture_dir, monkeypatch):
-    import corpus_pipeline
 
-    cols = "doc_id long, text string, lang string, source string, n_chars long"
+def stage_of(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def test_quality_stage_decides_by_row(spark, fixture_dir, monkeypatch):
     good, bad = "good words stand here", "bad " * 300
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in ((1, good), (1, bad), (None, good), (None, bad), (2, good))], cols)
-    x = {len(t): boosted_quality.document_features(docs.where(f"length(text) = {len(t)}")).first().x for t in (good, bad)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in ((1, good), (1, bad), (None, good), (None, bad), (2, good), (2, None))], PLAIN)
+    x = {t: boosted_quality.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in (good, bad)}
     y = np.arange(2000) % 2
-    forest = boosted_quality.fit_forest(np.array([x[len(good)] if k else x[len(bad)] for k in y], np.float32), y.astype(float))
+    forest = boosted_quality.fit_forest(np.array([x[good] if k else x[bad] for k in y], np.float32), y.astype(float))
     monkeypatch.setattr(boosted_quality, "fit", lambda *args: forest)
-    got = corpus_pipeline.quality(spark, docs, fixture_dir).collect()
-    assert sorted((str(r.doc_id), r.text) for r in got) == [("1", good), ("2", good), ("None", good)]
-    # rows without an id, each as often as it is taken itself
-    docs = spark.createDataFrame([(None, "w " * (1 + i % 9), "en", "abc"[i % 3], i) for i in range(60)], cols)
+    got = stage_of("quality classifier")(spark, docs, fixture_dir).collect()
+    kept = sorted((str(r.doc_id), str(r.text)) for r in got)
+    nothing = boosted_quality.features(np.zeros(0, np.uint8), np.array([0, 0]))
+    assert kept == sorted([("1", good), ("2", good), ("None", good)] + ([("2", "None")] if forest.score(nothing)[0] >= 0.5 else []))
+
+
+def brute_near(rows, k=5, percent=80):
+    """One row of every component stays: the smallest doc_id, null ids last."""
+    uniq = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, str(r)))
+    sets, comp = brute_components([(i, r[1]) for i, r in enumerate(uniq)], k, percent)
+    return collections.Counter(uniq[i] for i in comp if comp[i] == i)
+
+
+def test_near_duplicate_stage(spark, rows, docs, fixture_dir):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    more = [(500, one, "en", "s", 1), (500, two, "en", "s", 1), (500, two, "en", "s", 1), (None, one + " x", "en", "s", 1), (None, "only here", "en", "s", 1), (None, "only here", "en", "s", 1)]
+    given = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(more, PLAIN))
+    got = collections.Counter(plain(stage_of("n-gram Jaccard join")(spark, given, fixture_dir)))
+    want = brute_near([r[:5] for r in rows] + more)
+    assert collections.Counter((r[0], r[1]) for r in got.elements()) == collections.Counter((r[0], r[1]) for r in want.elements())
+    assert set(got) <= set([r[:5] for r in rows] + more)
+
+
+def test_substring_stage_keeps_one_row_for_each(spark, rows, docs, fixture_dir):
+    text = " ".join(f"q{i}" for i in range(30))
+    more = [(600, text, "en", "s", 1), (601, text + " tail", "en", "s", 1), (601, text + " tail", "en", "s", 1), (601, "other " + text, "de", "s", 2), (602, text, "en", "s", 1), (None, text, "en", "s", 1)]
+    given = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(more, PLAIN))
+    got = collections.Counter(plain(stage_of("substring dedup")(spark, given, fixture_dir)))
+    every, want = [r[:5] for r in rows] + more, collections.Counter()
+    first = {}
+    for i, t in sorted((r[0], r[1]) for r in every if r[0] is not None):
+        w = words(t)
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    for i, t, lang, source, n in every:
+        w, gone = words(t), set()
+        for k in range(len(w) - 12 if i is not None else 0):
+            if first[tuple(w[k : k + 13])] < i:
+                gone.update(range(k, k + 13))
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        if not gone:
+            want[i, t, lang, source, n] += 1
+        elif kept:
+            want[i, kept, lang, source, len(kept)] += 1
+    assert got == want and got[601, "tail", "en", "s", 4] == 2
+
+
+def test_mixing_stage_repeats_rows_as_the_queue_takes_them(spark, docs, fixture_dir):
+    given = spark.createDataFrame([(None if i % 3 else i % 7, f"w{i} " * (1 + i % 9), "en", "abc"[i % 3], i) for i in range(300)] + [(5, None, "en", None, 0)], PLAIN)
+    want = collections.Counter()
+    for r in mixing.fair_queue(mixing.sizes(given, "text")).collect():
+        want[r.doc_id, r.text] += r.times
+    got = collections.Counter(r[:2] for r in plain(stage_of("source mixing")(spark, given, fixture_dir)))
+    assert got == +want and sum(got.values()) > 100
+
+
+def test_pipeline_is_its_stages_and_packs_all_that_is_left(spark, fixture_dir, empty_dir):
+    docs = spark.read.parquet(f"{fixture_dir}/documents.parquet")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = step(spark, docs, fixture_dir)
+        assert tuple(docs.columns) == corpus_pipeline.COLUMNS, name
+    from tokenizers import Tokenizer
+
+    tok, want = Tokenizer.from_file(packing.default_vocabulary()), collections.Counter()
+    for r in docs.collect():
+        ids = np.array(tok.encode(r.text or "", add_special_tokens=False).ids + [1], "<u4")
+        for p, a in enumerate(range(0, len(ids), 4096)):
+            want[r.doc_id, p, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())] += 1
+    got = corpus_pipeline.run(spark, fixture_dir).collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want and got
+    assert corpus_pipeline.run(spark, empty_dir).count() == 0
+
+
+def test_statistics_against_brute_force(rows):
+    for r in rows:
+        raw = (r[1] or "").encode()
+        got = dict(zip(boosted_quality.NAMES, boosted_quality.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist(), strict=True))
+        w = [x.encode() for x in words(r[1])]
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        n, c = collections.Counter(grams), collections.Counter(w)
+        lines = [x for x in raw.split(b"\n") if x]
+        m = max(len(w), 1)
+        want = {
+            "n_bytes": len(raw), "n_words": len(w), "mean_word": sum(map(len, w)) / m, "longest_word": max(map(len, w), default=0), "short_words": sum(len(x) <= 3 for x in w) / m,
+            "distinct": len(c) / m, "top_word": max(c.values(), default=0) / m, "repeat3": sum(v for v in n.values() if v > 1) / max(len(grams), 1), "n_lines": len(lines),
+            "dup_lines": (len(lines) - len(set(lines))) / max(len(lines), 1), "line_bytes": len(raw) / max(len(lines), 1),
+        }
+        want |= {f"{k}_share": sum(x in v for x in raw) / max(len(raw), 1) for k, v in boosted_quality.CLASSES.items()}
+        for k, v in want.items():
+            assert abs(got[k] - v) <= 1e-5 * max(1, abs(v)), (r[0], k)
+
+
+def test_flat_traversal_equals_walking_the_trees():
+    rng = np.random.default_rng(2)
+    x = rng.random((5000, 6)).astype(np.float32)
+    f = boosted_quality.fit_forest(x, (x[:, 1] + x[:, 2] > 1).astype(float), trees=8)
+
+    def walk(row):
+        total = f.base
+        for at in f.roots:
+            while f.left[at] != at:
+                at = f.left[at] if row[f.feature[at]] <= f.cut[at] else f.right[at]
+            total += f.value[at]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(f.score(x)[::97], [walk(r) for r in x[::97]])
+
+
+def test_scores_of_the_query_are_those_of_the_forest(spark, rows, fixture_dir):
+    docs = spark.read.parquet(f"{fixture_dir}/documents.parquet")
+    forest = boosted_quality.fit(docs, spark.read.parquet(f"{fixture_dir}/labels.parquet"), crc_mod("doc_id", 3) != 1)
     want = collections.Counter()
-    for r in mixing.fair_queue(mixing.sizes(docs)).collect():  # equal rows may change places
-        want[r.source, r.size] += r.times
-    got = collections.Counter((r.source, len(words(r.text))) for r in corpus_pipeline.mix(spark, docs, fixture_dir).collect())
-    assert got == +want
+    for r in rows:
+        raw = (r[1] or "").encode()
+        want[r[0], round(float(forest.score(boosted_quality.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))[0]), 9)] += 1
+    got = collections.Counter((r.doc_id, round(r.score, 9)) for r in registry.QUERIES["op10_quality_classifier"](spark, fixture_dir).collect())
+    assert got == want
+
+
+def test_language_predictions_against_brute_force(spark, rows, fixture_dir):
+    docs = spark.read.parquet(f"{fixture_dir}/documents.parquet")
+    model = language_id.train(docs, crc_mod("doc_id", 5) != 0, language_id.default_vocabulary())
+    pieces = language_id.letter_pieces(language_id.default_vocabulary())
+    place = {p: int(np.searchsorted(model.keys, language_id._keys(language_id._codes([p])[0])[len(p) - 1].ravel()[0])) for p in pieces}
+
+    def log_sum(run):
+        a, scale = [np.ones(len(model.langs))], 0.0
+        for j in range(1, len(run) + 1):
+            got = np.zeros(len(model.langs))
+            for k in range(1, min(j, model.longest) + 1):
+                piece = run[j - k : j]
+                p = model.probs[place[piece]] if piece in place else (model.floor if k == 1 else 0.0)
+                got = got + a[j - k] * p
+            a.append(got)
+        return np.log(a[-1]) + scale
+
+    got = collections.defaultdict(list)
+    for r in registry.QUERIES["op7_language_id"](spark, fixture_dir).collect():
+        got[r.doc_id].append((r.lang_pred, round(r.score, 6)))
+    for i, t, *_ in rows[:60] + rows[110:]:
+        runs_ = language_id.runs_of(t) if t else []
+        if not runs_ or len(t) > 5000:
+            continue
+        s = sum(log_sum(w) for w in runs_)
+        assert (model.langs[int(s.argmax())], round(float(1 / np.exp(s - s.max()).sum()), 6)) in got[i]
+
+
+def test_rules_decide_as_their_list_says(spark, rows, fixture_dir):
+    docs = spark.read.parquet(f"{fixture_dir}/documents.parquet")
+    stats = quality_rules.statistics(docs)
+    rules = quality_rules.DecisionList([[("n_words", "<=", 90.0), ("mean_word", ">", 3.5)], [("stops", ">", 0.5)]])
+    names = {f: F.expr(e).alias(f) for f, e in quality_rules.FEATURES.items()}
+    for r in stats.select("doc_id", rules.expression().alias("rule"), *names.values()).collect():
+        want = next((i for i, rule in enumerate(rules.rules, 1) if quality_rules._holds(rule, r)), None)
+        assert r.rule == want
+
+
+def test_taken_against_a_plain_queue(spark, rows, docs):
+    sized = mixing.sizes(docs)
+    got = collections.Counter((r.doc_id, r.source, r.size, r.times) for r in mixing.fair_queue(sized).collect())
+    targets = {r.source: r.target for r in mixing.source_targets(sized).collect()}
+    by = collections.defaultdict(list)
+    for r in sized.collect():
+        by[r.source].append((int(hashlib.md5(f"17|{r.key}".encode()).hexdigest()[:13], 16), r.size, r.doc_id))
+    line, budget = [], sum(x[1] for v in by.values() for x in v)
+    for rank, s in enumerate(sorted(by, key=lambda s: (s is None, s or ""))):
+        done, total = 0, sum(x[1] for x in by[s])
+        for u, size, i in sorted(by[s], key=lambda x: x[:2]):
+            done += size
+            line += [((r * total + done - size / 2) / targets[s], rank, r, done, size, i, s) for r in range(3) if size]
+    run, times = 0, collections.Counter()
+    for _, _, r, done, size, i, s in sorted(line):
+        run += size
+        times[i, s, size, done] += run <= budget
+    want = collections.Counter((i, s, size, n) for (i, s, size, _), n in times.items())
+    for v in by.items():
+        want.update((i, v[0], size, 0) for _, size, i in v[1] if not size)
+    assert got == want

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import crc_mod, table, unit_hash
+from tidelog.llm.common import crc_mod, settled, table, unit_hash
 
 PART = 32
 SAMPLE_CHARS = 4_000_000
@@ -235,6 +235,7 @@ def identify(docs: DataFrame, model: PieceModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+@settled
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, crc_mod("doc_id", 5) != 0, default_vocabulary())

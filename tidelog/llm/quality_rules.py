@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WS, stage, table, unit_hash
+from tidelog.llm.common import WS, settled, stage, table, unit_hash
 
 #: Statistics the learner may test, as expressions over the staged columns.
 FEATURES = {
@@ -161,6 +161,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str
     return learn([({f: float(r[f]) for f in FEATURES}, int(r["y"])) for r in rows])
 
 
+@settled
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     stats = stage(statistics(table(spark, sf_dir, "documents")), "stats")
     rules = fit(stats, table(spark, sf_dir, "labels"))

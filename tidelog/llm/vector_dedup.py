@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import component_labels, stage, table
+from tidelog.llm.common import component_labels, settled, stage, table
 
 BLOCK = 2048
 _FILTERED = "rep long, weight long, filters array<int>, embedding array<float>"
@@ -206,6 +206,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, per_vector: float = 24
     return named.unionByName(v.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
 
 
+@settled
 def op5_vector_dedup(spark, sf_dir: str) -> DataFrame:
     out = near_vectors(table(spark, sf_dir, "embeddings"))
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
