@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir) with the columns of documents and return
 packing plan. Stages are written as Parquet to the shared folder and reread, so each works on all that its predecessor
 kept and a lost executor costs a reread.
 
-Null texts count as empty. The classifier and the mix decide row by row, whatever the doc_id. Rows with a null doc_id pass the near-duplicate and substring stages unchanged.
+Stages decide row by row: rows with a null or repeated doc_id are documents of their own, and no stage joins texts back
+by doc_id. Null texts count as empty. Rows equal in id and text are one document: the near-duplicate stage keeps one of them.
 """
 
 from __future__ import annotations
@@ -13,50 +14,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import boosted_quality, mixing, ngram_join, packing, substring_dedup
-from tidelog.llm.common import crc_mod, stage, table
+from tidelog.llm.common import crc_mod, release, stage, staged_count, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """The documents with a number of their own for every row."""
-    return stage(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the classifier predicts to be good. It is learned from the labelled documents outside the held-out third."""
-    rows = _rows(docs)
-    feats = stage(boosted_quality.document_features(rows.select(F.col("row").alias("doc_id"), "text")), "features")
-    known = feats.select(F.col("doc_id").alias("row"), "x").join(rows.select("row", "doc_id"), "row").select("doc_id", "x")
-    forest = boosted_quality.fit(known, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
-    bad = stage(boosted_quality.score(feats, forest).where("score < 0.5").select(F.col("doc_id").alias("row")), "rejected")
-    return rows.join(bad, "row", "left_anti").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    return boosted_quality.good(docs, boosted_quality.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of every component (five words, similarity 0.8)."""
-    got = ngram_join.near_duplicates(docs, k=5, percent=80)
-    gone = stage(got.where("component_id <> doc_id").select(F.col("doc_id").alias("id")), "copies")
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("id"), "left_anti")
+    """Keep one row of every component (five words, similarity 0.8): that with the smallest doc_id, null ids last."""
+    return ngram_join.without_copies(docs.select(*COLUMNS), k=5, percent=80)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 13 words and more that a document with a smaller doc_id has; documents left without a word go.
 
-    Documents without such a passage keep their text as it is.
+    Documents without such a passage keep their text as it is, and so do rows with a null doc_id.
     """
-    got = stage(substring_dedup.dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("id"), "kept"), "cut")
-    out = docs.select(*COLUMNS).join(got, F.col("doc_id") == F.col("id"), "left").where("kept is null or kept <> ''")
-    text = F.coalesce("kept", "text")
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    got = substring_dedup.dedup(docs.select(*COLUMNS), keep=COLUMNS[1:]).where("n_removed = 0 or kept <> ''")
+    cut = F.col("n_removed") > 0
+    text = F.when(cut, F.col("kept")).otherwise(F.col("_text"))
+    return got.select("doc_id", text.alias("text"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.when(cut, F.length("kept").cast("long")).otherwise(F.col("_n_chars")).alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that sources meet their targets; a document stands as often as it is taken."""
-    rows = _rows(docs)
-    sized = stage(mixing.sizes(rows, "row"), "sizes")
-    taken = stage(mixing.fair_queue(sized).where("times > 0").select("row", "times"), "taken")
-    return rows.join(taken, "row").withColumn("round", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    return mixing.mix(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage has staged on its way, and its input, are deleted when its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES[:-1]:
+    since = staged_count()
+    for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        release(spark, since, keep=1)
+    return docs
