@@ -1,80 +1,83 @@
 """Near-duplicate vectors by spherical-cap filters from structured random product codes.
 
-A filter is a direction built from one code word per block of the coordinates; a vector belongs to all filters whose
-direction exceeds a threshold, found by list decoding (best code words per block first). Vectors that share a filter
-are verified by cosine in double precision. The codes are random but fixed by a seed. Vectors are turned by a random
-rotation before they meet the code, so that any pair is to the code as a random pair of its cosine; the threshold is
-calibrated on such pairs at the least cosine, for every code size, so that a share of `recall` of them has a common
-filter (README states the measured recall).
+A filter is a direction built from one code word per half of the coordinates; a vector belongs to all filters whose
+direction exceeds a threshold, found by list decoding. Vectors that share a filter are verified by cosine in double
+precision. There are CODES codes, each after a random rotation of its own and all fixed by a seed: filters of different
+codes are nearly independent, so a pair needs far fewer of them than of one large code. The threshold is calibrated,
+for every code size, on random pairs at the least cosine, so that a share of `recall` of them has a common filter (README
+states the measured recall). A vector that exceeds no filter takes the best one of each code.
 
 Equal vectors collapse into one class first. In a filter's bucket the pairs are never emitted: the result is a count of
-links per vector and a labelled forest of its components. A pair counts in its smallest common filter only. Buckets
-above BLOCK members are cut into blocks; every pair of blocks is a task of its own, so nothing is dropped.
+links per class and a labelled forest of its components. A pair counts in its smallest common filter only. Buckets
+above BLOCK members are cut into blocks; every pair of blocks is a task's work of its own, so nothing is dropped.
 
-Defined cases: vectors that are null, of another length than most first ones, zero, or with null or non-finite
-components link with nothing; a null vec_id keeps a null component; rows with one vec_id are one node; an empty table
-gives an empty result; further columns are ignored.
+Defined cases: vectors that are null, of another length than most, zero, or with null or non-finite components link
+with nothing; a null vec_id keeps a null component; vec_ids are the nodes: rows with one vec_id are one node, linked by
+whatever any of its vectors links to, and n_links counts other vec_ids once; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidelog.llm.common import component_labels, settled, stage, table
 
 BLOCK = 2048
-_FILTERED = "rep long, weight long, filters array<int>, embedding array<float>"
+CODES = 12
+#: Members that a filter has on average, by the size of the code.
+CROWD = 16
 
 
 class CapCode:
-    """Two blocks of `size` random unit code words each: size * size filter directions.
+    """`codes` product codes of two blocks of `size` random unit words: codes * size * size filter directions."""
 
-    A vector has `per_vector` filters or more: as many as a share of `recall` of the pairs with cosine `cosine` needs.
-    """
-
-    def __init__(self, dim: int, size: int, per_vector: float, seed: int = 23, cosine: float = 0.95, recall: float = 0.95):
+    def __init__(self, dim: int, size: int, seed: int = 23, cosine: float = 0.95, recall: float = 0.95, codes: int = CODES):
         rng = np.random.default_rng(seed)
-        self.cut = dim // 2
-        self.words = []
-        for d in (self.cut, dim - self.cut):
-            c = rng.standard_normal((size, max(d, 1)))
-            self.words.append(c / np.linalg.norm(c, axis=1, keepdims=True))
-        self.size = size
-        share = min(0.4, per_vector / size**2)
-        self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        # the Gaussian tail is too thick for a large code: the scores of pairs say how far the threshold must come down
-        self.least = min(NormalDist().inv_cdf(1 - share) * np.sqrt(2 / dim), float(np.quantile(self._common(*_pairs(dim, cosine, rng)), 1 - recall)))
-
-    def _common(self, x: np.ndarray, y: np.ndarray, best: int = 96) -> np.ndarray:
+        self.size, self.cut, self.turns, self.words = size, dim // 2, [], []
+        for _ in range(codes):
+            self.turns.append(np.linalg.qr(rng.standard_normal((dim, dim)))[0])
+            blocks = [rng.standard_normal((size, max(d, 1))) for d in (self.cut, dim - self.cut)]
+            self.words.append([c / np.linalg.norm(c, axis=1, keepdims=True) for c in blocks])
+        self.least = float(np.quantile(self._common(*_pairs(dim, cosine, rng)), 1 - recall))
+
+    def _scores(self, x: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
+        x, (a, b) = x @ self.turns[code], self.words[code]
+        return (x[:, : self.cut] @ a.T if self.cut else np.zeros((len(x), self.size))), x[:, self.cut :] @ b.T
+
+    def _common(self, x: np.ndarray, y: np.ndarray, best: int = 48) -> np.ndarray:
         """The largest threshold at which each pair has a common filter, among the best words of each block (so never too high)."""
-        out = np.empty(len(x))
-        for i in range(len(x)):
-            a, b = (np.stack([w[:, : v.shape[1]] @ v[0], w[:, : v.shape[1]] @ v[1]]) for w, v in zip(self.words, np.split(np.stack([x[i], y[i]]), [self.cut], axis=1), strict=True))
-            a, b = (s[:, np.argsort(-s.sum(axis=0))[:best]] for s in (a, b))
-            out[i] = (a[:, :, None] + b[:, None, :]).min(axis=0).max()
+        out = np.full(len(x), -np.inf)
+        for k in range(len(self.words)):
+            halves = []
+            for u, v in zip(self._scores(x, k), self._scores(y, k), strict=True):
+                top = np.argsort(-(u + v), axis=1)[:, :best]
+                halves.append((np.take_along_axis(u, top, 1), np.take_along_axis(v, top, 1)))
+            (ux, uy), (vx, vy) = halves
+            for i in range(len(x)):
+                out[i] = max(out[i], np.minimum(ux[i][:, None] + vx[i], uy[i][:, None] + vy[i]).max())
         return out
 
-    def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """All exceeding filters of each unit vector; the best one always counts."""
-        x = x @ self.turn
-        scores = [x[:, : self.cut] @ self.words[0][:, : self.cut].T, x[:, self.cut :] @ self.words[1].T] if self.cut else [np.zeros((len(x), self.size)), x @ self.words[1].T]
-        order = [np.argsort(-s, axis=1) for s in scores]
-        ranked = [np.take_along_axis(s, o, axis=1) for s, o in zip(scores, order, strict=True)]
-        out = []
-        for i in range(len(x)):
-            a, b = ranked[0][i], ranked[1][i]
-            na, nb = int(np.searchsorted(-a, b[0] - self.least, "right")), int(np.searchsorted(-b, a[0] - self.least, "right"))
-            hit = np.argwhere(a[: max(na, 1), None] + b[None, : max(nb, 1)] >= self.least)
-            if not len(hit):
-                hit = np.zeros((1, 2), int)
-            out.append(np.sort(order[0][i][hit[:, 0]] * self.size + order[1][i][hit[:, 1]]).astype(np.int32))
-        return out
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All exceeding filters of the unit vectors, as (row, filter) sorted by both."""
+        rows, filters, best = [], [], []
+        for k in range(len(self.words)):
+            a, b = self._scores(x, k)
+            r, i = np.nonzero(a >= self.least - b.max(axis=1)[:, None])  # words that any partner can lift
+            hit, j = np.nonzero(b[r] >= (self.least - a[r, i])[:, None])
+            rows.append(r[hit])
+            filters.append((k * self.size + i[hit]) * self.size + j)
+            best.append((k * self.size + a.argmax(axis=1)) * self.size + b.argmax(axis=1))
+        none = np.setdiff1d(np.arange(len(x)), np.concatenate(rows))
+        r, f = np.concatenate([*rows, np.repeat(none, len(best))]), np.concatenate([*filters, np.column_stack(best)[none].ravel()])
+        order = np.lexsort((f, r))
+        return r[order], f[order].astype(np.int32)
 
 
 def _pairs(dim: int, cosine: float, rng: np.random.Generator, n: int = 2000) -> tuple[np.ndarray, np.ndarray]:
@@ -88,13 +91,13 @@ def _pairs(dim: int, cosine: float, rng: np.random.Generator, n: int = 2000) ->
 
 def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
     x = flat.astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _forest(linked: np.ndarray) -> np.ndarray:
-    """Smallest index reachable by links, for every member of a block pair."""
-    i, j = np.nonzero(linked)
-    label = np.arange(len(linked))
+def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest index reachable by links (i, j), for every one of n members."""
+    label = np.arange(n)
     while True:
         new = label.copy()
         np.minimum.at(new, i, label[j])
@@ -108,50 +111,73 @@ def _forest(linked: np.ndarray) -> np.ndarray:
 def _decode_rows(code: CapCode, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            got = [code.decode(_unit(np.asarray(batch.column(2).slice(i, 512).flatten()), dim)) for i in range(0, batch.num_rows, 512)]
-            lists = [x for g in got for x in g]
-            off = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(lists))), batch.column(2)], names=["rep", "weight", "filters", "embedding"])
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                row, filt = code.decode(_unit(np.asarray(part.column(part.schema.get_field_index("embedding")).flatten()), dim))
+                off = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(off), pa.array(filt))], names=[*part.schema.names, "filters"])
 
     return run
 
 
+def _meet_before(lists: pa.ListArray, filt: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs have a common filter below filt. Lists are sorted."""
+    off, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+    flat, off = flat[off[0] : off[-1]], off - off[0]
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    use = flat < filt
+    n = np.bincount(row[use], minlength=len(off) - 1)
+    first = np.concatenate([[0], np.cumsum(n)])
+    width = max(int(n.max(initial=0)), 1)
+    m = np.repeat(-1 - np.arange(len(n))[:, None], width, axis=1)  # no filter, and no two rows' alike
+    m[row[use], np.arange(int(use.sum())) - first[row[use]]] = flat[use]
+    out, step = np.zeros(len(i), bool), max(1, (1 << 22) // width)
+    for lo in range(0, len(i), step):
+        a, b = m[i[lo : lo + step]], m[j[lo : lo + step]]
+        for k in range(width):
+            out[lo : lo + step] |= (a == b[:, k : k + 1]).any(axis=1)
+    return out
+
+
 def _bucket_links(dim: int, least: float):
-    """Links of one bucket or pair of blocks: (rep, root, links)."""
-
-    def one(filt: int, i: int, j: int, t: pa.Table):
-        rep, weight, block = (np.asarray(t.column(c).combine_chunks()).astype(np.int64) for c in ("rep", "weight", "block"))
-        order = np.lexsort((rep, block))
-        x = _unit(np.asarray(t.column("embedding").combine_chunks().flatten()), dim)[order]
-        lists = t.column("filters").to_pylist()
-        lists = [lists[k] for k in order.tolist()]
-        rep, weight, block = rep[order], weight[order], block[order]
-        linked = x @ x.T >= least
-        np.fill_diagonal(linked, False)
-        if i != j:
-            linked &= block[:, None] != block[None, :]
-        if linked.any():
-            # only links whose smallest common filter is this one
-            smaller = [[f for f in fs if f < filt] for fs in lists]
-            names = {f: k for k, f in enumerate(sorted({f for fs in smaller for f in fs}))}
-            if names:
-                m = np.zeros((len(rep), len(names)), np.float32)
-                for k, fs in enumerate(smaller):
-                    m[k, [names[f] for f in fs]] = 1
-                linked &= (m @ m.T) < 0.5
-        n = linked @ weight
-        root = _forest(linked)
-        some = n > 0
-        return rep[some], rep[root[some]], n[some]
+    """Links of one bucket or pair of blocks: (a, root, n), and (a, b, null) for links of flagged classes."""
+
+    def one(filt: int, bi: int, bj: int, t: pa.Table):
+        t = t.combine_chunks()
+        rep, weight, block, flag = (np.asarray(t.column(c).combine_chunks()).astype(np.int64) for c in ("cid", "weight", "block", "flag"))
+        x = _unit(np.asarray(t.column("embedding").combine_chunks().flatten()), dim)
+        left, right = (np.flatnonzero(block == b) for b in (bi, bj))
+        found = [], []
+        for lo in range(0, len(left), BLOCK):
+            l_ = left[lo : lo + BLOCK]
+            i, j = np.nonzero(x[l_] @ x[right].T >= least)
+            i, j = l_[i], right[j]
+            once = rep[i] < rep[j] if bi == bj else np.ones(len(i), bool)
+            found[0].append(i[once])
+            found[1].append(j[once])
+        i, j = np.concatenate(found[0]), np.concatenate(found[1])
+        if len(i):
+            new = ~_meet_before(t.column("filters").combine_chunks(), filt, i, j)
+            i, j = i[new], j[new]
+        n = (np.bincount(i, weights=weight[j], minlength=len(rep)) + np.bincount(j, weights=weight[i], minlength=len(rep))).astype(np.int64)
+        order = np.argsort(rep, kind="stable")
+        place = np.empty(len(rep), np.int64)
+        place[order] = np.arange(len(rep))
+        root = order[_forest(len(rep), place[i], place[j])[place]]
+        some = np.zeros(len(rep), bool)
+        some[i] = some[j] = True
+        odd = (flag[i] | flag[j]) > 0
+        a = np.concatenate([rep[some], rep[i[odd]], rep[j[odd]]])
+        b = np.concatenate([rep[root[some]], rep[j[odd]], rep[i[odd]]])
+        count = pa.array(np.concatenate([n[some], np.zeros(2 * int(odd.sum()), np.int64)]), mask=np.arange(len(a)) >= int(some.sum()))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), count], names=["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
 
         def done():
-            a, b, n = one(*key, pa.Table.from_batches(held))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+            if sum(b.num_rows for b in held) > 1:
+                yield one(*key, pa.Table.from_batches(held))
 
         for batch in batches:  # sorted by (filter, i, j)
             keys = np.column_stack([np.asarray(batch.column(k)) for k in range(3)])
@@ -161,49 +187,89 @@ def _bucket_links(dim: int, least: float):
                     continue
                 now = tuple(int(v) for v in keys[lo])
                 if key is not None and now != key:
-                    if sum(b.num_rows for b in held) > 1:
-                        yield done()
+                    yield from done()
                     held = []
                 key = now
                 held.append(batch.slice(lo, hi - lo))
-        if key is not None and sum(b.num_rows for b in held) > 1:
-            yield done()
+        if key is not None:
+            yield from done()
 
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, per_vector: float = 24.0, id_col: str = "vec_id", recall: float = 0.95) -> DataFrame:
+def _links(classes: DataFrame, code: CapCode, dim: int, least: float) -> DataFrame:
+    """(a, b, n): b is the root of a in a bucket and n its links there, or n is null and a, b a link of a flagged class."""
+    spark = classes.sparkSession
+    kind = dict(classes.dtypes)["embedding"]
+    schema = f"cid long, weight long, flag int, embedding {kind}"
+    decoded = stage(classes.select("cid", "weight", "flag", "embedding").mapInArrow(_decode_rows(code, dim), schema + ", filters array<int>"), "decoded")
+    crowd = stage(decoded.select(F.explode("filters").alias("filter")).groupBy("filter").count().where("count > 1").select("filter", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "crowd")
+    rows = decoded.select("*", F.explode("filters").alias("filter")).join(crowd, "filter").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    # in a bucket only the filters below it are asked for
+    rows = rows.withColumn("filters", F.slice("filters", F.lit(1), F.greatest(F.array_position("filters", F.col("filter")).cast("int") - 1, F.lit(0))))
+    # a member of block b meets blocks b..last as the left and 0..b as the right side
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("filter", "i", "j", "cid", "weight", "flag", "block", "filters", "embedding").repartition(n, "filter", "i", "j").sortWithinPartitions("filter", "i", "j")
+    return stage(rows.mapInArrow(_bucket_links(dim, least), "a long, b long, n long"), "links")
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", recall: float = 0.95) -> DataFrame:
     """(id, n_links, component_id) for every row."""
-    spark = vectors.sparkSession
-    v = vectors.select(F.col(id_col).alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    kind = "array<double>" if getattr(vectors.schema["embedding"].dataType, "elementType", None) == DoubleType() else "array<float>"
+    v = vectors.select(F.col(id_col).alias("id"), F.col("embedding").cast(kind).alias("embedding"))
     size = v.where("embedding is not null and size(embedding) > 0").select(F.size("embedding").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").first()
     dim = size["d"] if size else 0
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     fine = F.coalesce((F.size("embedding") == dim) & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     v = v.withColumn("fine", fine & F.col("id").isNotNull() & F.lit(dim > 0))
-    # equal vectors are one class; ids count once
-    classes = v.where("fine").groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
-    classes = stage(classes.select("rep", "weight", "embedding"), "classes")
+    # a vec_id's equal vectors count once; vec_ids with several vectors belong to several classes
+    nodes = v.where("fine").select("id", "embedding")
+    twice = stage(nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("twice")), "twice")
+    repeated = not twice.isEmpty()
+    if repeated:
+        again = stage(nodes.join(twice, F.col("id") == F.col("twice"), "left_semi").distinct(), "again")
+        multi = stage(again.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("multi")), "multi")
+        nodes = nodes.join(twice, F.col("id") == F.col("twice"), "left_anti").unionByName(again).join(multi, F.col("id") == F.col("multi"), "left").withColumn("flag", F.col("multi").isNotNull().cast("int"))
+    else:
+        nodes = nodes.withColumn("flag", F.lit(0))
+    # weight: the vec_ids of this class alone
+    classes = nodes.groupBy("embedding").agg(F.min("id").alias("least"), F.sum(1 - F.col("flag")).cast("long").alias("weight"), F.max("flag").alias("flag"))
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("cid"), "least", "weight", "flag", "embedding"), "classes")
     count = classes.count()
+    nothing = v.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     if not count:
-        return v.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    code = CapCode(dim, 1 << min(11, max(4, (int(count).bit_length() + 1) // 2)), per_vector, cosine=least, recall=recall)
-    decoded = stage(classes.mapInArrow(_decode_rows(code, dim), _FILTERED), "decoded")
-    rows = decoded.select("*", F.explode("filters").alias("filter"))
-    crowd = stage(decoded.select(F.explode("filters").alias("filter")).groupBy("filter").count().where("count > 1").select("filter", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "crowd")
-    rows = rows.join(crowd, "filter").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # a member of block b meets blocks b..last as the left and 0..b as the right side
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("filter", "i", "j", "rep", "weight", "block", "filters", "embedding").repartition(n, "filter", "i", "j").sortWithinPartitions("filter", "i", "j")
-    links = stage(rows.mapInArrow(_bucket_links(dim, least), "a long, b long, n long"), "links")
+        return nothing
+    code = CapCode(dim, 1 << min(11, max(4, (int(count // CROWD).bit_length() + 1) // 2)), cosine=least, recall=recall)
+    links = _links(classes, code, dim, least)
+    edges = links.select("a", "b")
+    of = None
+    if repeated:  # the classes of one vec_id are one component
+        of = stage(nodes.where("flag = 1").join(classes.select("cid", F.col("embedding").alias("e")), F.col("embedding") == F.col("e")).select("id", "cid"), "of")
+        low = of.groupBy("id").agg(F.min("cid").alias("b"))
+        edges = edges.unionByName(of.join(low, "id").select(F.col("cid").alias("a"), "b"))
+    comp = component_labels(edges.select(F.explode(F.array("a", "b")).alias("node")), edges)
+    # a component is named by its smallest vec_id
+    comp = classes.select("cid", "least").join(comp, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("component", "cid").alias("component"))
+    names = comp.groupBy("component").agg(F.min("least").alias("component_id"))
     degree = links.groupBy("a").agg(F.sum("n").alias("n"))
-    comp = component_labels(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))), links.select("a", "b"))
-    # ids of other classes may repeat: a component is named by its smallest class, whose rep is its smallest id
-    named = classes.join(degree, classes["rep"] == degree["a"], "left").join(comp, F.col("rep") == comp["node"], "left").select(F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    named = v.where("fine").join(named, F.col("embedding") == F.col("e")).select("id", "n_links", F.col("component").alias("component_id"))
-    return named.unionByName(v.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    known = classes.join(comp.select("cid", "component"), "cid").join(names, "component").join(degree, F.col("cid") == F.col("a"), "left")
+    known = known.select(F.col("embedding").alias("e"), "cid", F.col("flag").alias("odd"), (F.coalesce("n", F.lit(0)) + F.col("weight")).alias("met"), "component_id")
+    got = v.where("fine").join(known, F.col("embedding") == F.col("e")).select("id", "cid", "met", "component_id")
+    if not repeated:
+        return got.select("id", (F.col("met") - 1).alias("n_links"), "component_id").unionByName(nothing)
+    # vec_ids of several classes: counted once each, from the links of flagged classes
+    beside = stage(links.where("n is null").select("a", "b").unionByName(classes.where("flag = 1").select(F.col("cid").alias("a"), F.col("cid").alias("b"))).distinct(), "beside")
+    several = beside.join(of, F.col("b") == F.col("cid")).select("a", F.col("id").alias("other")).distinct()
+    by_class = several.groupBy("a").agg(F.count("*").alias("more"))
+    mine = of.join(beside, F.col("cid") == F.col("a")).select("id", "b").distinct().join(classes.select(F.col("cid").alias("b"), "weight"), "b")
+    alone = mine.groupBy("id").agg(F.sum("weight").alias("alone"))
+    others = of.join(several, F.col("cid") == F.col("a")).where("other <> id").select("id", "other").distinct().groupBy("id").agg(F.count("*").alias("others"))
+    total = alone.join(others, "id", "left").select(F.col("id").alias("multi_"), (F.col("alone") + F.coalesce("others", F.lit(0))).alias("all_"))
+    got = got.join(by_class, F.col("cid") == F.col("a"), "left").join(total, F.col("id") == F.col("multi_"), "left")
+    n_links = F.coalesce("all_", F.col("met") - 1 + F.coalesce("more", F.lit(0)))
+    return got.select("id", n_links.alias("n_links"), "component_id").unionByName(nothing)
 
 
 @settled
