@@ -469,7 +469,8 @@ def dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, batches: in
     """
     spark = docs.sparkSession
     n, rows = int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count()
-    index = WindowIndex(spark, width, anchor, max(2 * n, rows // DOCS_PER_PART), max(n, rows // DOCS_PER_BUCKET))
+    # no more parts and buckets than there is work for: a blob goes from each bucket to each part
+    index = WindowIndex(spark, width, anchor, max(n, rows // DOCS_PER_PART), max(n // 2, rows // DOCS_PER_BUCKET))
     marks = reduce(DataFrame.unionByName, [index.decide(*batch) for batch in id_batches(docs, batches)])
     index.drop()
     return cleaned(docs, marks, width, index.buckets, keep)
