@@ -50,7 +50,21 @@ def json_body(ordered_messages: Column) -> Column:
 
 
 def bytes_body(ordered_messages: Column) -> Column:
-    return F.aggregate(ordered_messages, F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
+    """Bytes of all messages, joined once (as hexadecimal text), not by a fold that copies at every step."""
+    return F.unhex(F.array_join(F.transform(ordered_messages, lambda x: F.hex(x)), ""))
+
+
+def batch_kind(content_type: Column) -> Column:
+    """How a read delivers messages: json, text or bytes (also for no type)."""
+    kind = media_type(content_type)
+    return F.when(kind == "application/json", "json").when(kind.startswith("text/"), "text").otherwise("bytes")
+
+
+def batch_body(content_type: Column, ordered_messages: Column) -> Column:
+    """A batch's body by its kind: a JSON array, text, or bytes in hexadecimal; null (a parse error) for invalid JSON."""
+    kind, text = batch_kind(content_type), F.transform(ordered_messages, lambda x: x.cast("string"))
+    json = json_body(text)
+    return F.when(kind == "json", F.when(F.try_parse_json(json).isNotNull(), json)).when(kind == "text", F.array_join(text, "")).otherwise(F.lower(F.hex(bytes_body(ordered_messages))))
 
 
 def event_lines(text: Column) -> Column:
@@ -58,8 +72,22 @@ def event_lines(text: Column) -> Column:
     return F.split(text, "\r\n|\r|\n")
 
 
-def data_event(text: Column) -> Column:
-    return F.concat(F.lit("event: data\n"), F.array_join(F.transform(event_lines(text), lambda x: F.concat(F.lit("data:"), x)), "\n"), F.lit("\n\n"))
+def data_event(content_type: Column, ordered_messages: Column) -> Column:
+    """The event-stream data event of a batch: JSON items one a line, text line by line, other bytes in base64."""
+    text = F.transform(ordered_messages, lambda x: x.cast("string"))
+    last = F.size(text) - 1
+    items = F.concat(F.lit("data:[\n"), F.array_join(F.transform(text, lambda x, i: F.concat(F.lit("data:"), x, F.when(i < last, ",").otherwise(""), F.lit("\n"))), ""), F.lit("data:]\n"))
+    lines = F.concat(F.array_join(F.transform(event_lines(F.array_join(text, "")), lambda x: F.concat(F.lit("data:"), x)), "\n"), F.lit("\n"))
+    raw = F.concat(F.lit("data:"), base64_plain(bytes_body(ordered_messages)), F.lit("\n"))
+    kind = batch_kind(content_type)
+    return F.concat(F.lit("event: data\n"), F.when(kind == "json", items).when(kind == "text", lines).otherwise(raw), F.lit("\n"))
+
+
+def control_event(next_offset: Column, cursor: Column, up_to_date: Column, closed: Column) -> Column:
+    """The control event that follows every data event; a closed stream has neither a cursor nor up-to-date."""
+    open_ = F.concat(F.lit('","streamCursor":"'), cursor.cast("string"), F.lit('"'), F.when(up_to_date, ',"upToDate":true').otherwise(""))
+    json = F.concat(F.lit('{"streamNextOffset":"'), next_offset, F.when(closed, F.lit('","streamClosed":true')).otherwise(open_), F.lit("}"))
+    return F.concat(F.lit("event: control\ndata:"), json, F.lit("\n\n"))
 
 
 def etag(path: Column, start: Column, end: Column, closed: Column) -> Column:
@@ -79,3 +107,40 @@ def stream_of(directory: str) -> str:
 
 def path_url(base: str, stream_id: str) -> str:
     return base.rstrip("/") + "/" + "/".join(quote(p, safe="-_.!~*'()") for p in stream_id.split("/"))
+
+
+def _encoded(text: Column, keep: str) -> Column:
+    """Percent-encoding of UTF-8 where letters, digits and the characters `keep` stay."""
+    got = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for c in "-_.*":
+        if c not in keep:
+            got = F.replace(got, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    for c in "!~'()":
+        if c in keep:
+            got = F.replace(got, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return got
+
+
+def encoded_directory(stream_id: Column) -> Column:
+    """directory_of as a column; null for an empty id."""
+    return F.when(stream_id != "", _encoded(stream_id, "-_"))
+
+
+def decoded_directory(directory: Column) -> Column:
+    return F.url_decode(F.replace(directory, F.lit("+"), F.lit("%2B")))
+
+
+def encoded_path(stream_id: Column) -> Column:
+    """A stream's path in a url: each segment percent-encoded."""
+    return F.array_join(F.transform(F.split(stream_id, "/"), lambda x: _encoded(x, "-_.!~*'()")), "/")
+
+
+def checkpoint_stream(view_id: Column) -> Column:
+    """Where a view keeps its checkpoints."""
+    return F.concat(F.lit("__views/"), _encoded(view_id, "-_.!~*'()"), F.lit("/checkpoint"))
+
+
+def strip_prefix(path: Column, prefix: str) -> Column:
+    """A path without the prefix that streams are served under (a closing slash is implied); others stay as they are."""
+    full = prefix if prefix.endswith("/") else f"{prefix}/"
+    return F.when(path.startswith(full), F.substring(path, len(full) + 1, 1 << 30)).otherwise(path)

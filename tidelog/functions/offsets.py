@@ -45,11 +45,45 @@ def live_cursor(now_ms: Column, previous: Column | None = None, draw: Column | N
     return F.when(previous >= bucket, previous + jump).otherwise(bucket)
 
 
+class DefaultOffsets:
+    """The default scheme: 16 digits, an underscore, 16 zeros. A scheme gives offsets as a column and, for folds, as text."""
+
+    def column(self, n: Column) -> Column:
+        return default_offset(n)
+
+    def text(self, n: int) -> str:
+        return f"{n:016d}_{0:016d}"
+
+    def number(self, offset: Column) -> Column:
+        """How many messages lie up to an offset of this scheme."""
+        return F.substring(offset, 1, 16).try_cast("long")
+
+    def valid(self, offset: Column) -> Column:
+        return is_valid(offset) & has_default_shape(offset)
+
+
 class PaddedOffsets:
-    """A pluggable scheme: fixed-width counters in a given base, for strictly growing opaque offsets."""
+    """A pluggable scheme: fixed-width counters after a prefix, for strictly growing opaque offsets."""
 
     def __init__(self, prefix: str = "", width: int = 20):
         self.prefix, self.width = prefix, width
 
     def column(self, n: Column) -> Column:
         return F.when((n >= 0) & (F.length(n.cast("string")) <= self.width), F.concat(F.lit(self.prefix), F.lpad(n.cast("string"), self.width, "0")))
+
+    def text(self, n: int) -> str:
+        return f"{self.prefix}{n:0{self.width}d}"
+
+    def number(self, offset: Column) -> Column:
+        return F.substring(offset, len(self.prefix) + 1, self.width).try_cast("long")
+
+    def valid(self, offset: Column) -> Column:
+        return is_valid(offset) & offset.startswith(self.prefix) & F.substring(offset, len(self.prefix) + 1, 255).rlike(rf"^[0-9]{{{self.width}}}$")
+
+
+def checked(scheme, sample: int = 3):
+    """The scheme, if its first offsets are valid and grow as strings; else an error, before anything is written."""
+    got = [scheme.text(n) for n in range(sample + 1)]
+    if any(a >= b for a, b in zip(got, got[1:], strict=False)) or not all(1 <= len(x) <= 255 and not set(x) & set(",&=?/") and x not in (START, "now") for x in got):
+        raise ValueError("offsets of a scheme must be valid and grow as strings")
+    return scheme

@@ -35,3 +35,32 @@ def merged(patch: Column, record: Column) -> Column:
 def has_key(json: Column, key: str) -> Column:
     """Presence of a top-level key, whatever its value (null counts)."""
     return F.coalesce(F.array_contains(F.json_object_keys(json), key), F.lit(False))
+
+
+def prefixed_id(prefix: str, uuid: Column) -> Column:
+    """A prefix and the first eight characters of a uuid."""
+    return F.concat(F.lit(f"{prefix}_"), F.substring(F.lower(uuid), 1, 8))
+
+
+def base36_id(data: Column, size: int = 10) -> Column:
+    """One letter or digit for each of the first `size` bytes: the byte modulo 36."""
+    digits = F.lit("0123456789abcdefghijklmnopqrstuvwxyz")
+    byte = lambda i: F.conv(F.substring(F.hex(data), 2 * i + 1, 2), 16, 10).cast("int")
+    return F.concat(*[F.substring(digits, byte(i) % 36 + 1, F.lit(1)) for i in range(size)])
+
+
+def valid_workspace(identifier: Column) -> Column:
+    """Lower-case letters, digits and inner hyphens, 1 to 64 characters."""
+    return F.coalesce(identifier.rlike(r"^[a-z0-9][a-z0-9-]{0,63}$"), F.lit(False))
+
+
+def trimmed_or(text: Column, default: str, keep_empty: bool = True) -> Column:
+    """Trimmed text; the default where there is none (and, unless keep_empty, where nothing is left)."""
+    got = F.trim(F.coalesce(text, F.lit(default)))
+    return got if keep_empty else F.when(got == "", default).otherwise(got)
+
+
+def key_of(value: Column, field: str) -> Column:
+    """A collection's key from a JSON value: a string field; null where it is absent or no string."""
+    got = F.try_variant_get(F.try_parse_json(value), f"$.{field}", "variant")
+    return F.when(F.schema_of_variant(got) == "STRING", got.cast("string"))

@@ -11,7 +11,7 @@ from tidelog.operators.fold import ordered_fold
 #: HTTP codes of append results.
 APPEND_CODES = [
     ("appended", 204), ("duplicate", 204), ("not-found", 404), ("gone", 410), ("conflict:closed", 409), ("conflict:expected-offset", 409),
-    ("conflict:content-type", 409), ("conflict:sequence", 409), ("busy", 503), ("stale-epoch", 403), ("producer-gap", 409), ("invalid-epoch-seq", 400),
+    ("conflict:content-type", 409), ("conflict:sequence", 409), ("busy", 503), ("stale-epoch", 403), ("producer-gap", 409), ("invalid-epoch-seq", 400), ("bad-request", 400),
 ]
 
 
@@ -51,60 +51,103 @@ def admit_producers(attempts: DataFrame, order: list[str]) -> DataFrame:
     """stream_id, producer_id, arrival, status and the state after each attempt."""
 
     def step(state, row):
-        status = producer_decision(state, row["producer_epoch"], row["producer_seq"])
+        stream, producer, arrival, epoch, seq = row
+        status = producer_decision(state, epoch, seq)
         if status == "accepted":
-            state = (row["producer_epoch"], row["producer_seq"])
-        return state, {"stream_id": row["stream_id"], "producer_id": row["producer_id"], "arrival": row["arrival"], "status": status, "epoch": state[0] if state else None, "last_seq": state[1] if state else None}
+            state = (epoch, seq)
+        return state, (stream, producer, arrival, status, *(state or (None, None)))
 
     cols = ["stream_id", "producer_id", "arrival", "producer_epoch", "producer_seq"]
     return ordered_fold(attempts.select(*cols), ["stream_id", "producer_id"], order, lambda: None, step, "stream_id string, producer_id string, arrival long, status string, epoch long, last_seq long")
 
 
 class _Stream:
-    def __init__(self):
-        self.n, self.closed, self.seq, self.producers = 0, False, None, {}
-
-
-def _append(s: _Stream, row: dict) -> tuple[_Stream, dict]:
-    """One attempt; the order of the rules matters: producer, close-only, closed, content type, sequence, expected offset."""
-    status, pid = None, row["producer_id"]
-    tail = f"{s.n:016d}_{0:016d}"
-    if pid is not None:
-        verdict = producer_decision(s.producers.get(pid), row["producer_epoch"], row["producer_seq"])
-        status = None if verdict == "accepted" else verdict
-    stale = row["expected_offset"] is not None and row["expected_offset"] != tail
-    if status is None:
-        if row["close"] and row["n_messages"] == 0:
-            status = "appended" if s.closed or not stale else "conflict:expected-offset"
-            changes = not s.closed and status == "appended"
-        else:
-            if s.closed:
+    def __init__(self, exists: bool):
+        self.n, self.exists, self.gone, self.closed, self.seq, self.producers = 0, exists, False, False, None, {}
+
+
+_ATTEMPT = ["stream_id", "arrival", "n_messages", "type_ok", "seq", "producer_id", "producer_epoch", "producer_seq", "close", "expected_offset", "has_body", "kind"]
+_ADMITTED = "stream_id string, arrival long, status string, before string, tail string, closed boolean, last_seq string, changed boolean, producer_id string, epoch long, producer_seq long"
+
+
+def _append(text):
+    """One attempt; the order of the rules matters: record, producer, close-only, closed, content type, sequence, expected offset, body.
+
+    Rows of kind 0 bring a stream's record (n_messages: messages so far), of kind 1 a producer's state, of kind 2 an attempt.
+    """
+
+    def step(s: _Stream, row: tuple) -> tuple[_Stream, tuple | None]:
+        stream, arrival, n, type_ok, seq, pid, epoch, pseq, close, expected, has_body, kind = row
+        if kind == 0:
+            s.exists, s.n, s.closed, s.gone, s.seq = True, n, bool(close), bool(type_ok), seq
+            return s, None
+        if kind == 1:
+            s.producers[pid] = (epoch, pseq)
+            return s, None
+        before, status, changes = text(s.n), None, False
+        if not s.exists:
+            return s, (stream, arrival, "not-found", None, None, None, None, False, None, None, None)
+        if s.gone:
+            status = "gone"
+        elif pid is not None:
+            verdict = producer_decision(s.producers.get(pid), epoch, pseq)
+            status = None if verdict == "accepted" else verdict
+        stale = expected is not None and expected != before
+        if status is None:
+            if close and not has_body:
+                status = "appended" if s.closed or not stale else "conflict:expected-offset"
+                changes = not s.closed and status == "appended"
+            elif s.closed:
                 status = "conflict:closed"
-            elif not row["type_ok"]:
+            elif not type_ok:
                 status = "conflict:content-type"
-            elif row["seq"] and s.seq is not None and row["seq"] <= s.seq:
+            elif seq and s.seq is not None and seq <= s.seq:
                 status = "conflict:sequence"
             elif stale:
                 status = "conflict:expected-offset"
+            elif n is None:
+                status = "bad-request"
             else:
-                status = "appended"
-            changes = status == "appended"
+                status, changes = "appended", True
         if changes:
-            s.n += row["n_messages"]
-            s.closed = s.closed or row["close"]
-            s.seq = row["seq"] or s.seq
+            s.n += n or 0
+            s.closed = s.closed or bool(close)
+            s.seq = seq or s.seq
             if pid is not None:
-                s.producers[pid] = (row["producer_epoch"], row["producer_seq"])
-    return s, {"stream_id": row["stream_id"], "arrival": row["arrival"], "status": status, "tail": f"{s.n:016d}_{0:016d}", "closed": s.closed}
+                s.producers[pid] = (epoch, pseq)
+        state = s.producers.get(pid) if pid is not None else None
+        return s, (stream, arrival, status, before, text(s.n), s.closed, s.seq, changes, pid, *(state or (None, None)))
+
+    return step
 
 
-def admit_appends(attempts: DataFrame, order: list[str]) -> DataFrame:
-    """The whole append decision per stream. attempts: stream_id, arrival, n_messages, type_ok, seq, producer_id, producer_epoch, producer_seq, close, expected_offset.
+def admit_appends(attempts: DataFrame, order: list[str], records: DataFrame | None = None, producers: DataFrame | None = None, scheme=None) -> DataFrame:
+    """The whole append decision per stream, in order: status, tail before and after, closed, last_seq, changed, producer's state.
 
-    Only these columns travel; payloads are joined back by (stream_id, arrival).
+    attempts: stream_id, arrival, n_messages (null: the body is no valid JSON), type_ok, seq, producer_id, producer_epoch,
+    producer_seq, close, expected_offset, and has_body (bytes, not messages: a body [] has some; else taken from
+    n_messages). Only these columns travel; payloads are joined back by (stream_id, arrival).
+    records: stream_id, current_offset, closed, soft_deleted, last_seq of the streams there are, and producers: stream_id,
+    producer_id, epoch, last_seq. Without records every stream is there and empty.
     """
-    cols = ["stream_id", "arrival", "n_messages", "type_ok", "seq", "producer_id", "producer_epoch", "producer_seq", "close", "expected_offset"]
-    return ordered_fold(attempts.select(*cols), ["stream_id"], order, _Stream, _append, "stream_id string, arrival long, status string, tail string, closed boolean")
+    scheme = scheme or offsets.DefaultOffsets()
+    a = attempts if "has_body" in attempts.columns else attempts.withColumn("has_body", F.col("n_messages") > 0)
+    a = a.withColumn("kind", F.lit(2)).select(*_ATTEMPT)
+    null = lambda t: F.lit(None).cast(t)
+    if records is not None:
+        r = records.select(
+            "stream_id", null("long").alias("arrival"), scheme.number(F.col("current_offset")).alias("n_messages"), F.coalesce("soft_deleted", F.lit(False)).alias("type_ok"), F.col("last_seq").alias("seq"), null("string").alias("producer_id"),
+            null("long").alias("producer_epoch"), null("long").alias("producer_seq"), F.coalesce("closed", F.lit(False)).alias("close"), null("string").alias("expected_offset"), F.lit(False).alias("has_body"), F.lit(0).alias("kind"),
+        )
+        a = a.unionByName(r)
+        if producers is not None:
+            p = producers.select(
+                "stream_id", null("long").alias("arrival"), F.lit(0).cast("long").alias("n_messages"), F.lit(True).alias("type_ok"), null("string").alias("seq"), "producer_id", F.col("epoch").alias("producer_epoch"),
+                F.col("last_seq").alias("producer_seq"), F.lit(False).alias("close"), null("string").alias("expected_offset"), F.lit(False).alias("has_body"), F.lit(1).alias("kind"),
+            )
+            a = a.unionByName(p)
+    there = records is None
+    return ordered_fold(a, ["stream_id"], ["kind", *order], lambda: _Stream(there), _append(scheme.text), _ADMITTED)
 
 
 def config_matches(a: dict[str, Column], b: dict[str, Column]) -> Column:

@@ -53,6 +53,46 @@ def control(name: str, offset: Column | None = None) -> Column:
     return F.concat(F.lit(f'{{"headers":{{"control":"{name}"'), at, F.lit("}}"))
 
 
+def route(changes: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Changes with the collection their type belongs to; other types have none."""
+    of = F.lit(None).cast("string")
+    for name, wire in types.items():
+        of = F.when(F.col("type") == wire, F.lit(name)).otherwise(of)
+    return changes.withColumn("collection", of)
+
+
+def upsert_fold(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Live rows of a log that also has upserts (insert or update, whichever it is)."""
+    c = changes.withColumn("operation", F.when(F.col("operation") == "upsert", "update").otherwise(F.col("operation")))
+    return latest_state(c, keys)
+
+
+def keyed_writes(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the operation a keyed collection writes for them: insert for a new key, else update."""
+    k = known.select(*keys, F.lit(True).alias("known_")).dropDuplicates(keys)
+    return rows.join(k, keys, "left").withColumn("operation", F.when(F.col("known_").isNull(), "insert").otherwise("update")).drop("known_")
+
+
+def update_from_previous(previous: dict[str, Column], patch: dict[str, Column]) -> dict[str, Column]:
+    """A row's next fields: what the patch has, else what was there."""
+    return {name: F.coalesce(patch[name], old) if name in patch else old for name, old in previous.items()}
+
+
+def mutate(requests: DataFrame, order: list[str], initial, attempt, schema: str) -> DataFrame:
+    """Optimistic mutations of a state per key, as one serial fold: each request is validated against exactly the state it lands on.
+
+    attempt(state, row) returns the new state (None: nothing is written) and the answer. Writers that race on a stored log
+    go through LogStore.append with an expected offset instead, and retry.
+    """
+    from tidelog.operators.fold import ordered_fold
+
+    def step(state, row):
+        new, answer = attempt(state, row)
+        return (state if new is None else new), answer
+
+    return ordered_fold(requests, [requests.columns[0]], order, initial, step, schema)
+
+
 def latest_state(changes: DataFrame, keys: list[str], until: str | None = None) -> DataFrame:
     """Live rows: the last change per key unless it deletes. A map-side combinable max_by; tombstones survive it."""
     c = changes if until is None else changes.where(F.col("offset") <= until)

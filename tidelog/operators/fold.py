@@ -9,24 +9,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], initial: Callable[[], object], step: Callable[[object, dict], tuple[object, dict]], schema: str) -> DataFrame:
-    """A sequential fold per key with one output row per input row.
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], initial: Callable[[], object], step: Callable[[object, tuple], tuple[object, tuple]], schema: str) -> DataFrame:
+    """A sequential fold per key with at most one output row per input row.
 
     Rows of a key stream through one task in order, batch by batch; only the fold's state is held, so a long key does
-    not need to fit in memory. step(state, row) returns the new state and the output row.
+    not need to fit in memory. step(state, row) returns the new state and the output row, or None for none; rows are
+    tuples in the order of df's columns, taken from whole Arrow columns at a time.
     """
+    at = [df.columns.index(k) for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                now = tuple(row[k] for k in keys)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                now = [row[i] for i in at]
                 if now != key:
                     key, state = now, initial()
                 state, got = step(state, row)
-                out.append(got)
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                if got is not None:
+                    out.append(got)
+            cols = zip(*out, strict=True) if out else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -35,9 +39,19 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], initial: Call
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def fold_array(values: Column, initial: Column, step, finish=None) -> Column:
-    """A fold inside one row, over an array already in order."""
-    return F.aggregate(values, initial, step, finish) if finish else F.aggregate(values, initial, step)
+def events(batch: DataFrame, decode: Column, keep: list[str]) -> DataFrame:
+    """Events of messages: decode gives an array per message; a message may give none, one or many, in order."""
+    return batch.select(*keep, F.posexplode(decode).alias("place", "event"))
+
+
+def materialize(log: DataFrame, key: str, order: list[str], initial: Column, evolve, event: Column) -> DataFrame:
+    """A user's fold (initial, evolve) per key over its ordered events, as an expression: (key, state).
+
+    A key's events are gathered in one row, so this is for folds that no aggregate expresses over short logs; use
+    ordered_fold for long ones.
+    """
+    got = log.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, event.alias("e")))).alias("log"))
+    return got.select(key, F.aggregate(F.col("log.e"), initial, evolve).alias("state"))
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str = "offset") -> DataFrame:

@@ -12,10 +12,12 @@ def ancestry(streams: DataFrame) -> DataFrame:
     """(leaf, ancestor, hi, depth): what each stream sees of itself (hi null) and of each ancestor (offsets up to hi).
 
     streams: stream_id, forked_from, fork_offset. The cap of an ancestor is the least fork offset on the way. Paths
-    double at every step, so a chain of length L takes log2 L joins; missing ancestors give nothing. Forks that form a circle are an error.
+    double at every step, so a chain of length L takes log2 L joins; ancestors without a record give nothing. Forks that form a circle are an error.
     """
     streams = cut(streams.select("stream_id", "forked_from", "fork_offset"), "streams")
-    edge = streams.where("forked_from is not null").select(F.col("stream_id").alias("leaf"), F.col("forked_from").alias("ancestor"), F.col("fork_offset").alias("hi"), F.lit(1).alias("depth"))
+    there = streams.select(F.col("stream_id").alias("there_")).distinct()
+    known = streams.where("forked_from is not null").join(there, F.col("forked_from") == F.col("there_"), "left_semi")
+    edge = known.select(F.col("stream_id").alias("leaf"), F.col("forked_from").alias("ancestor"), F.col("fork_offset").alias("hi"), F.lit(1).alias("depth"))
     paths, reach, most = edge, 1, streams.count()
     while True:
         ahead = paths.where(F.col("depth") <= reach)
@@ -31,9 +33,14 @@ def ancestry(streams: DataFrame) -> DataFrame:
     return own.unionByName(paths)
 
 
-def chain_read(messages: DataFrame, streams: DataFrame, after: str | None = None) -> DataFrame:
-    """All messages every stream sees, with the stream they come from. One equi-join by ancestor; the cap is a residual test."""
-    a = ancestry(streams)
+def chain_read(messages: DataFrame, streams: DataFrame, after: str | None = None, others: DataFrame | None = None) -> DataFrame:
+    """All messages every stream sees, with the stream they come from. One equi-join by ancestor; the cap is a residual test.
+
+    others: all records, where `streams` are only the ones to read.
+    """
+    a = ancestry(streams if others is None else others)
+    if others is not None:
+        a = a.join(streams.select(F.col("stream_id").alias("leaf")).distinct(), "leaf")
     m = messages.withColumnRenamed("stream_id", "origin")
     got = m.join(a, F.col("origin") == F.col("ancestor")).where(F.col("hi").isNull() | (F.col("offset") <= F.col("hi")))
     if after:
@@ -75,6 +82,22 @@ def cascade(streams: DataFrame, deleted: DataFrame) -> DataFrame:
     return marked.join(needed, F.col("stream_id") == F.col("n_"), "left").withColumn("status", F.when(~F.col("soft_deleted"), "visible").when(F.col("n_").isNotNull(), "retained-soft-deleted").otherwise("purged")).drop("n_")
 
 
+def source_live(present: Column, soft_deleted: Column, current_offset: Column, live_at: Column) -> Column:
+    """Whether a fork's source is still there, visible, and as far as the fork's place."""
+    return F.coalesce(present & ~F.coalesce(soft_deleted, F.lit(False)) & (current_offset >= live_at), F.lit(False))
+
+
+def child_edges(edges: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """The set of (parent, child) edges after adding and removing some; both may be repeated without effect."""
+    return edges.unionByName(added).dropDuplicates(["parent", "child"]).join(removed, ["parent", "child"], "left_anti")
+
+
+def purge(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """Messages, producers and records without the given streams: all three go together."""
+    gone = ids.select(F.col("stream_id").alias("gone_")).distinct()
+    return {name: df.join(gone, F.col("stream_id") == F.col("gone_"), "left_anti") for name, df in tables.items()}
+
+
 def fork_verdict(source_present: Column, soft_deleted: Column, valid_offset: Column, fork_offset: Column, tail: Column) -> Column:
     return F.when(~source_present, "not-found").when(F.coalesce(soft_deleted, F.lit(False)), "conflict").when(~valid_offset | (fork_offset > tail), "bad-request").otherwise("created")
 

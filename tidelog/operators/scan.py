@@ -69,3 +69,42 @@ def snapshot_differs(present: Column, soft_deleted: Column, closed: Column, offs
 def visible_tail(messages: DataFrame, streams: DataFrame) -> DataFrame:
     """Messages up to their stream's tail."""
     return messages.join(streams.select("stream_id", "current_offset"), "stream_id").where(F.col("offset") <= F.col("current_offset")).drop("current_offset")
+
+
+def lookup(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Point lookups of many keys at once: every key with its row, or nulls where there is none."""
+    return keys.join(table, on, "left")
+
+
+def commits(messages: DataFrame, streams: DataFrame) -> DataFrame:
+    """A commit event per message beyond the initial offset: stream, offset, closed and soft-deleted flags, no body."""
+    s = streams.select("stream_id", F.coalesce("closed", F.lit(False)).alias("closed"), F.coalesce("soft_deleted", F.lit(False)).alias("soft_deleted"))
+    return messages.where(F.col("offset") != offsets.ZERO).select("stream_id", "offset").join(s, "stream_id")
+
+
+def live_start(offset: Column, scheme=None) -> Column:
+    """Where a live read stands: any offset that is not valid is the initial one."""
+    scheme = scheme or offsets.DefaultOffsets()
+    return F.when(F.coalesce(scheme.valid(offset), F.lit(False)), offset).otherwise(scheme.column(F.lit(0).cast("long")))
+
+
+def live_step(messages: DataFrame, streams: DataFrame, readers: DataFrame, scheme=None) -> DataFrame:
+    """One evaluation of live reads (readers: stream_id, from): status, n_messages, next_offset, closed.
+
+    Level-triggered: the answer depends on what is there, not on what woke it. not-found and gone as for any read; ok with
+    messages after the place; a closed stream drains and says so at its tail; else timeout. A tail that is ahead of what
+    can be listed does not move the reader (the visibility guard).
+    """
+    s = streams.select("stream_id", "current_offset", F.coalesce("closed", F.lit(False)).alias("closed_"), F.coalesce("soft_deleted", F.lit(False)).alias("deleted_"))
+    r = readers.select("stream_id", "from", live_start(F.col("from"), scheme).alias("after_")).join(s, "stream_id", "left")
+    m = messages.select(F.col("stream_id").alias("s_"), "offset")
+    got = r.join(m, (F.col("stream_id") == F.col("s_")) & (F.col("offset") > F.col("after_")), "left")
+    got = got.groupBy("stream_id", "from", "after_", "current_offset", "closed_", "deleted_").agg(F.count("offset").alias("n"), F.max("offset").alias("last"))
+    seen = visibility(F.col("current_offset").isNotNull(), F.col("deleted_"))
+    ok = seen == "visible"
+    behind = F.col("after_") < F.col("current_offset")
+    nxt = F.when(F.col("closed_"), F.greatest(F.coalesce("last", "current_offset"), "current_offset")).otherwise(F.coalesce("last", F.when(behind, F.col("after_")), "current_offset"))
+    return got.select(
+        "stream_id", "from", F.when(~ok, seen).when(F.col("n") > 0, "ok").otherwise("timeout").alias("status"), F.when(ok, F.col("n")).otherwise(0).alias("n_messages"),
+        F.when(ok, nxt).alias("next_offset"), F.when(ok, F.col("closed_") & (nxt == F.col("current_offset"))).alias("closed"),
+    )

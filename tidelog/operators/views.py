@@ -38,3 +38,28 @@ def changed(stored: DataFrame, fetched: DataFrame, keys: list[str], fields: list
     """Fetched rows that are new or differ from what is stored."""
     s = stored.select(*keys, F.struct(*fields).alias("s_"))
     return fetched.join(s, keys, "left").where(~F.struct(*fields).eqNullSafe(F.col("s_"))).drop("s_")
+
+
+def poll(listed: DataFrame, stored: DataFrame, items: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """One poll of a newest list: unseen ids are fetched, known ones refreshed; dead, deleted, untitled items and others than stories are left out.
+
+    listed: key. items: key, type, title, time, dead, deleted and fields. Returns kept items with phase (new or
+    refreshed) and changed (new, or different from what is stored).
+    """
+    usable = "not coalesce(deleted, false) and not coalesce(dead, false) and type = 'story' and coalesce(title, '') <> '' and coalesce(time, 0) <> 0"
+    old = stored.select(F.col(key).alias("k_"), F.struct(*fields).alias("s_"))
+    wanted = listed.select(key).unionByName(stored.select(key)).distinct()
+    got = items.where(usable).join(wanted, key, "left_semi").join(old, F.col(key) == F.col("k_"), "left")
+    phase = F.when(F.col("k_").isNull(), "new").otherwise("refreshed")
+    return got.select(key, *fields, phase.alias("phase"), (~F.struct(*fields).eqNullSafe(F.col("s_"))).alias("changed"))
+
+
+def poll_stats(polled: DataFrame) -> DataFrame:
+    """Counts of a poll in one row."""
+    count = lambda test: F.count(F.when(test, 1))
+    return polled.agg(count(F.col("phase") == "new").alias("fetched_new"), count(F.col("phase") == "refreshed").alias("refreshed"), count(F.col("changed")).alias("changed"))
+
+
+def first_ids(df: DataFrame, order: list[Column], key: str, n: int) -> DataFrame:
+    """The first n ids of a list."""
+    return df.orderBy(*order).select(key).limit(n)

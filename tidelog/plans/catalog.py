@@ -9,23 +9,10 @@ from tidelog.functions import media, offsets, scalars
 from tidelog.operators import admit, changes, expiry, fold, lineage, scan, views
 from tidelog.plans import fixtures as fx
 from tidelog.plans.fixtures import ATTEMPTS, CHANGES, FOREST, MESSAGES, STREAMS, off_sql
+from tidelog.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from tidelog.sources import jsonl
 from tidelog.streaming import live
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # -- scans and offsets ---------------------------------------------------------------------------------------------
 
 
@@ -217,7 +204,7 @@ _APPEND = f"""WITH RECURSIVE {ATTEMPTS},
 
 @query(_APPEND + f" SELECT stream_id, arrival, status, {off_sql('n')} AS tail, closed FROM r WHERE arrival>0")
 def append_decisions(spark, d):
-    return admit.admit_appends(fx.attempts(spark, d), ["arrival"])
+    return admit.admit_appends(fx.attempts(spark, d), ["arrival"]).select("stream_id", "arrival", "status", "tail", "closed")
 
 
 @query(_APPEND + """, c(status, code) AS (VALUES ('appended',204),('duplicate',204),('not-found',404),('gone',410),('conflict:closed',409),('conflict:expected-offset',409),('conflict:content-type',409),
@@ -230,9 +217,8 @@ def append_status_mix(spark, d):
 @query(_APPEND + f", l AS (SELECT stream_id, arrival, lag(n) OVER (PARTITION BY stream_id ORDER BY arrival) AS before FROM r) SELECT a.stream_id, a.arrival, a.expected={off_sql('l.before')} AS matches FROM l JOIN attempts a USING(stream_id, arrival) WHERE a.expected IS NOT NULL")
 def cas_expected_offset(spark, d):
     a = fx.attempts(spark, d)
-    got = admit.admit_appends(a, ["arrival"])
-    before = F.coalesce(F.lag("tail").over(Window.partitionBy("stream_id").orderBy("arrival")), F.lit(offsets.ZERO))
-    j = got.select("stream_id", "arrival", before.alias("before")).join(a.where("expected_offset is not null").select("stream_id", "arrival", "expected_offset"), ["stream_id", "arrival"])
+    got = admit.admit_appends(a, ["arrival"]).select("stream_id", "arrival", "before")
+    j = got.join(a.where("expected_offset is not null").select("stream_id", "arrival", "expected_offset"), ["stream_id", "arrival"])
     return j.select("stream_id", "arrival", (F.col("expected_offset") == F.col("before")).alias("matches"))
 
 
@@ -452,14 +438,15 @@ def changed_rows(spark, d):
     return views.changed(stored, o, ["o_orderkey"], ["o_orderstatus", "o_totalprice"]).select("o_orderkey")
 
 
-_TOP = "SELECT event_id, value FROM events WHERE event_id%4<={b} ORDER BY value DESC, event_id DESC LIMIT 50"
-
-
-@query(f"""WITH a AS ({_TOP.format(b=1)}), b AS ({_TOP.format(b=2)}) SELECT event_id, CASE WHEN a.event_id IS NULL THEN 'enter' ELSE 'exit' END AS delta FROM a FULL JOIN b USING(event_id) WHERE a.value IS NULL OR b.value IS NULL""".replace("WHEN a.event_id IS NULL", "WHEN a.value IS NULL"))
+@query("""WITH n AS (SELECT max(event_id) AS n FROM events), a AS (SELECT event_id, value FROM events, n WHERE event_id < n // 2 ORDER BY value DESC, event_id DESC LIMIT 50), b AS (SELECT event_id, value FROM events ORDER BY value DESC, event_id DESC LIMIT 50)
+ SELECT event_id, CASE WHEN a.value IS NULL THEN 'enter' ELSE 'exit' END AS delta FROM a FULL JOIN b USING(event_id) WHERE a.value IS NULL OR b.value IS NULL""")
 def topn_enter_exit(spark, d):
+    """From the view of the first half of the log to that of the whole."""
     e = fx.table(spark, d, "events").select("event_id", "value")
-    top = lambda b: views.top_n(e.where(F.col("event_id") % 4 <= b), [F.desc("value"), F.desc("event_id")])
-    return views.view_delta(top(1), top(2), ["event_id"], "value").select("event_id", "delta")
+    half = e.agg(F.floor(F.max("event_id") / 2).alias("half"))
+    top = lambda df: views.top_n(df, [F.desc("value"), F.desc("event_id")])
+    before = e.join(F.broadcast(half), F.col("event_id") < F.col("half")).select("event_id", "value")  # one row
+    return views.view_delta(top(before), top(e), ["event_id"], "value").select("event_id", "delta")
 
 
 # -- JSON lines ----------------------------------------------------------------------------------------------------
@@ -536,3 +523,6 @@ def stream_topn_delta(spark, d):
     e = _event_stream(spark, d).select("event_id", "value")
     got = live.top_n_deltas(e, ["event_id"], "value", [F.desc("value"), F.desc("event_id")], 50, fx.shared_path(spark, "top"))
     return got.select("event_id", "delta", "batch")
+
+
+from tidelog.plans import log_queries, scalar_queries, state_queries  # noqa: E402, F401

@@ -14,21 +14,29 @@ from tidelog.functions.media import base64_plain
 def encode(messages: DataFrame, json_stream="json_stream") -> DataFrame:
     """Adds line, from offset, timestamp, data (text) and a flag that the stream is JSON."""
     head = F.concat(F.lit('{"offset":"'), "offset", F.lit('","timestamp":'), F.col("timestamp").cast("string"))
-    inline = F.col(json_stream) & F.try_parse_json("data").isNotNull()
-    body = F.when(inline, F.concat(F.lit(',"json":'), "data")).otherwise(F.concat(F.lit(',"b64":"'), base64_plain(F.col("data").cast("binary")), F.lit('"')))
+    text = F.col("data").cast("string")
+    # only what comes back as the same bytes is written as text
+    inline = F.col(json_stream) & F.try_parse_json(text).isNotNull() & F.is_valid_utf8(text)
+    body = F.when(inline, F.concat(F.lit(',"json":'), text)).otherwise(F.concat(F.lit(',"b64":"'), base64_plain(F.col("data").cast("binary")), F.lit('"')))
     return messages.withColumn("line", F.concat(head, body, F.lit("}")))
 
 
-def decode(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Messages from lines in physical order (line_no): malformed lines are skipped, the last line of an offset wins."""
+def decode(lines: DataFrame, keys: list[str], binary: bool = False) -> DataFrame:
+    """Messages from lines in physical order (line_no): malformed lines are skipped, the last line of an offset wins.
+
+    binary: data as bytes, as they were written; else as text.
+    """
     fields = F.from_json("line", "offset string, timestamp long, json string, b64 string")
     got = lines.where(F.try_parse_json("line").isNotNull()).withColumn("r", fields).where("r.offset is not null and (r.json is not null or r.b64 is not null)")
-    data = F.coalesce(F.col("r.json"), F.unbase64("r.b64").cast("string"))
+    data = F.coalesce(F.col("r.json").cast("binary"), F.unbase64("r.b64"))
+    data = data if binary else data.cast("string")
     got = got.select(*keys, F.col("r.offset").alias("offset"), "line_no", F.struct(F.col("r.timestamp").alias("timestamp"), data.alias("data")).alias("m"))
     return got.groupBy(*keys, "offset").agg(F.max_by("m", "line_no").alias("m")).select(*keys, "offset", "m.timestamp", "m.data")
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one file with their numbers; a whole file is one partition, so that order is physical."""
-    lines = spark.read.option("wholetext", False).text(path).coalesce(1)
-    return lines.select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("line_no"))
+    """Lines of a file, or of all files of a folder, with their numbers: a number grows with the line's place in its file.
+
+    Files are split as Spark splits text, so one large file is many tasks' work.
+    """
+    return spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line_no"))
