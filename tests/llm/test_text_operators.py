@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import zlib
 
 import corpus_pipeline
@@ -119,9 +120,10 @@ def brute_components(rows, k, percent):
     return sets, {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80), (2, 50)])
-def test_ngram_join(spark, rows, docs, k, percent, monkeypatch):
+@pytest.mark.parametrize("k,percent,block", [(3, 90, 4096), (5, 80, 6), (2, 50, 9)])
+def test_ngram_join(spark, rows, docs, k, percent, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "LONG", 60)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)  # so that frequent n-grams are dealt to pairs of blocks
     monkeypatch.setattr(ngram_join, "NEAR", 3)  # so that large buckets and the second round take part
     sets, comp = brute_components(rows, k, percent)
     got = ngram_join.near_duplicates(docs, k, percent).collect()
@@ -133,6 +135,22 @@ def test_ngram_join(spark, rows, docs, k, percent, monkeypatch):
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), comp[r.doc_id])
 
 
+def test_groups_of_many_members(spark, monkeypatch):
+    """Documents with one prefix and size, near and far: their group is expanded, and no link is lost."""
+    monkeypatch.setattr(ngram_join, "NEAR", 2)
+    rng, often = random.Random(3), [f"often{i}" for i in range(31)]
+    rows = [(i, " ".join([f"a{k}" for k in range(28)] + rng.sample(often, 12))) for i in range(50)]  # the rare words are the prefix
+    rows += [(100 + i, " ".join([f"a{k}" for k in range(26)] + rng.sample(often, 12))) for i in range(20)]  # another group beside it
+    rows += [(200 + i, " ".join([f"b{i}x{k}" for k in range(9)] + often)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sketch = ngram_join._frequency_sketch(df, 1, 1 << 14)
+    groups = collections.Counter((r.n, r.prefix_hash) for r in ngram_join.prefix_sets(df, 1, 80, sketch).collect())
+    assert sorted(groups.values())[-2:] == [20, 50]
+    _, comp = brute_components(rows, 1, 80)
+    assert 1 < len({c for i, c in comp.items() if i < 200}) < 70
+    assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(df, 1, 80).collect()} == comp
+
+
 def test_packing(spark, rows, fixture_dir):
     from tokenizers import Tokenizer
 

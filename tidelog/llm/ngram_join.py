@@ -3,14 +3,19 @@
 1. Documents with equal n-gram sets collapse into classes, classes with equal prefix and size into groups. A prefix is
    the first n - ceil(t n) + 1 n-grams in one order for all: frequent ones last (frequencies of all documents, counted
    in a sketch of bounded size; they only steer the order), then by hash. Sets as similar as t share a prefix n-gram.
-2. A group drops the n-grams of its prefix that no other group of possible size has (one shuffle of packed
-   fingerprints).
-3. Members of the groups left meet per n-gram. Pairs are filtered by size and by parity bitmaps: the bits in which
-   two bitmaps differ are never more than the n-grams in which the sets differ, so no similar pair is lost.
-4. Round one takes, of each large bucket, each member's pair with the bucket's first member and with its nearest
-   neighbour in size order (small buckets: all pairs). Verified links join components; round two takes only pairs
-   that lie in different components. Pairs of long texts
-   pass wider bitmaps first; then all are verified on the whole texts.
+2. Groups meet per n-gram of their prefixes; a group drops those that no other group of possible size has (one shuffle
+   of packed fingerprints). Group pairs are filtered by size and by parity bitmaps: the bits in which two bitmaps
+   differ are never more than the n-grams in which the sets differ; a group of several members has one member's bitmap
+   and the distance to its farthest one. An n-gram with more groups than BLOCK is dealt to blocks, and pairs of blocks.
+3. The pairs left are expanded: groups of one member give a pair, others a bucket of both groups' members, which is
+   filtered by their own bitmaps. Members of one group are a bucket as well.
+4. Buckets never give all pairs. Round one takes, of each large bucket, each entry's pair with the bucket's first entry
+   and with its nearest neighbour in size order (small buckets: all pairs). Verified links join components; round two
+   takes only pairs that lie in different components. Pairs of long texts pass wider bitmaps first; then all are
+   verified on the whole texts.
+
+The result is components, not links: a link inside a component that is already joined is not looked at, because a group
+of thousands of different near copies has millions of them.
 
 Defined cases: a null or empty text has an empty set and links with nothing; fewer words than n: the whole sequence is
 the one n-gram; a null doc_id links with nothing and keeps a null component; rows with one doc_id are one node;
@@ -33,10 +38,13 @@ from tidelog.llm.runs import unplanes
 from tidelog.llm.wordscan import mix64
 
 BITS, NEAR = 1024, 16
+#: Groups of one n-gram that one task may have at once.
+BLOCK = 4096
 LONG = 1024
 BROADCAST_IDS = 2_000_000
 _SETS = "doc_id long, n long, s1 long, s2 long, prefix_hash long, bitmap binary, prefix binary, wide binary"
-_ENTRY = "a long, b long, token long, n int, bitmap binary"
+_ENTRY = "a long, b long, token long, block int, blocks int, n int, radius int, bitmap binary"
+_NAMES = [x.split()[0] for x in _ENTRY.split(", ")]
 
 
 def gram_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +128,16 @@ def prefix_sets(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, _SETS)
 
 
-def _prefix_rows(parts: int):
-    """Packed (n-gram, group, size) of all prefixes, by part of the hash space."""
+def _prefix_rows(parts: int, buckets: int, sketch: np.ndarray):
+    """Packed (n-gram, group, size) of all prefixes, by part of the hash space.
+
+    An n-gram that more than BLOCK documents may have goes to its groups' buckets at once, with the number of blocks that
+    its groups are dealt to; so no task ever has all groups of a frequent one.
+    """
+    width = np.uint64(len(sketch))
+    often = np.flatnonzero(sketch > BLOCK)
+    dealt = np.append(-(-sketch[often] // BLOCK), 1).astype(np.uint32)
+    often = np.append(often, len(sketch))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,19 +146,21 @@ def _prefix_rows(parts: int):
             if not lists:
                 continue
             times = [len(x) for x in lists]
-            h = np.concatenate(lists)
-            yield sd._batch(list(sd._split((h % np.uint64(parts)).astype(np.int64), h, np.repeat(ids, times), np.repeat(sizes, times).astype(np.uint32))))
+            h, d, n = np.concatenate(lists), np.repeat(ids, times), np.repeat(sizes, times).astype(np.uint32)
+            cell = (h % width).astype(np.int64)
+            at = np.searchsorted(often, cell)
+            hot = often[at] == cell
+            blocks = dealt[at]
+            part = np.where(hot, parts + sd.bucket_of(d, buckets), (h % np.uint64(parts)).astype(np.int64))
+            yield sd._batch(list(sd._split(part, h, d, np.where(hot, blocks, n))))
 
     return run
 
 
-def _shared_tokens(buckets: int, percent: int):
-    """Groups per n-gram that have another group of possible size beside them (nearest in size order)."""
+def _shared_tokens(parts: int, buckets: int, percent: int):
+    """Groups per n-gram that have another group of possible size beside them (nearest in size order), by bucket of the group."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(unplanes(h, np.uint64), unplanes(d, np.int64), unplanes(x, np.uint32)) for batch in batches for h, d, x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-        if not got:
-            return
+    def one(got: list[tuple]) -> pa.RecordBatch | None:
         h, d, n = (np.concatenate(x) for x in zip(*got, strict=True))
         n = n.astype(np.int64)
         order = np.lexsort((d, n, h))
@@ -150,30 +168,51 @@ def _shared_tokens(buckets: int, percent: int):
         near = (h[1:] == h[:-1]) & (100 * n[:-1] >= percent * n[1:])
         use = np.append(near, False) | np.append(False, near)
         h, d = h[use], d[use]
-        if len(h):
-            yield sd._batch([(g, x, y, b"") for g, x, y, _ in sd._split(sd.bucket_of(d, buckets), h, d, np.zeros(len(h), np.uint16))])
+        return sd._batch(list(sd._split(sd.bucket_of(d, buckets), h, d, np.ones(len(h), np.uint32)))) if len(h) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:  # sorted by part
+            through = []
+            for p, h, d, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if p >= parts:
+                    through.append((p - parts, h, d, x))
+                    continue
+                if p != part and held:
+                    if (out := one(held)) is not None:
+                        yield out
+                    held = []
+                part = p
+                held.append((unplanes(h, np.uint64), unplanes(d, np.int64), unplanes(x, np.uint32)))
+            if through:
+                yield sd._batch(through)
+        if held and (out := one(held)) is not None:
+            yield out
 
     return run
 
 
 def _entries(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Members of a bucket of groups with every n-gram that their group shares, and with their group if it has many."""
-    marks = right.select(["hash", "doc"])
-    got = [(unplanes(h, np.uint64), unplanes(d, np.int64)) for h, d in zip(marks.column(0).to_pylist(), marks.column(1).to_pylist(), strict=True)]
-    token = np.concatenate([x[0] for x in got]) if got else np.zeros(0, np.uint64)
-    group = np.concatenate([x[1] for x in got]) if got else np.zeros(0, np.int64)
-    gid, cid, n = (np.asarray(left.column(c).combine_chunks()).astype(np.int64) for c in ("gid", "doc_id", "n"))
+    """Groups of a bucket with every n-gram that they share, and their block of it."""
+    marks = right.select(["hash", "doc", "extra"])
+    got = [(unplanes(h, np.uint64), unplanes(d, np.int64), unplanes(x, np.uint32)) for h, d, x in zip(*(marks.column(i).to_pylist() for i in range(3)), strict=True)]
+    token, group, blocks = (np.concatenate(v) for v in zip(*got, strict=True)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+    gid, n, radius = (np.asarray(left.column(c).combine_chunks()).astype(np.int64) for c in ("gid", "n", "radius"))
     maps = left.column("bitmap").to_pylist()
-    names, many = np.unique(gid, return_counts=True)
-    own = names[many > 1]
-    token = np.append(token, mix64(own.view(np.uint64) ^ np.uint64(0xA5A5A5A5)))
-    group = np.append(group, own)
     order = np.argsort(gid, kind="stable")
-    lo, hi = np.searchsorted(gid[order], group, "left"), np.searchsorted(gid[order], group, "right")
-    times = hi - lo
-    at = order[np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-    out = np.repeat(token, times)
-    return pa.table([pa.array(cid[at]), pa.array(cid[at]), pa.array(out.view(np.int64)), pa.array(n[at].astype(np.int32)), pa.array([maps[i] for i in at.tolist()], pa.binary())], names=["a", "b", "token", "n", "bitmap"])
+    at = np.minimum(np.searchsorted(gid[order], group), max(len(gid) - 1, 0))
+    known = gid[order][at] == group if len(gid) else np.zeros(len(group), bool)
+    token, group, blocks, at = token[known], group[known], blocks[known], order[at[known]]
+    block = np.zeros(len(group), np.int64)
+    for k in np.unique(blocks[blocks > 1]).tolist():
+        m = blocks == k
+        block[m] = sd.bucket_of(group[m], k)
+    return _table(group, group, token, block, blocks, n[at], radius[at], [maps[i] for i in at.tolist()])
+
+
+def _table(a, b, token, block, blocks, n, radius, maps: list) -> pa.Table:
+    cols = [pa.array(a), pa.array(b), pa.array(token.view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (block, blocks, n, radius)], pa.array(maps, pa.binary())]
+    return pa.table(cols, names=_NAMES)
 
 
 def _differ(maps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -183,101 +222,119 @@ def _differ(maps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def _passes(n: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Flags of the pairs that size and bitmaps leave, and in how many bits these differ."""
-    both, least = n[i] + n[j], np.minimum(n[i], n[j])
-    most = both - 2 * (-(-percent * both // (100 + percent)))
-    ok = (100 * least >= percent * (both - least)) & (most >= 0)
-    differ = np.full(len(i), 1 << 30)
-    differ[ok] = _differ(maps, i[ok], j[ok])
-    return ok & (differ <= most), differ
-
-
-def _arrays(batches: Iterator[pa.RecordBatch], label: bool):
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return None
-    t = pa.Table.from_batches(parts)
-    cid, token, n = (np.asarray(t.column(c).combine_chunks()).astype(np.int64) for c in ("a", "token", "n"))
-    maps = np.frombuffer(b"".join(t.column("bitmap").to_pylist()), np.uint64).reshape(len(cid), BITS // 64)
-    comp = np.asarray(t.column("b").combine_chunks()).astype(np.int64) if label else cid
-    order = np.lexsort((cid, n, token))
-    cid, token, n, maps, comp = cid[order], token[order], n[order], maps[order], comp[order]
-    start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    return cid, token, n, maps, comp, start, np.diff(np.append(start, len(cid)))
+class _Bucket:
+    """Entries of one task, in order of bucket and size."""
+
+    def __init__(self, batches: list[pa.RecordBatch], key: tuple[str, ...]):
+        t = pa.Table.from_batches(batches)
+        col = lambda c: np.asarray(t.column(c).combine_chunks()).astype(np.int64)
+        self.a, self.n, self.radius, self.block, self.blocks, self.token = (col(c) for c in ("a", "n", "radius", "block", "blocks", "token"))
+        self.label = col("b") if t.column("b").null_count == 0 else self.a
+        self.maps = np.frombuffer(b"".join(t.column("bitmap").to_pylist()), np.uint64).reshape(len(self.a), BITS // 64)
+        keys = [col(c) for c in key]
+        order = np.lexsort((self.a, self.n, *reversed(keys)))
+        for name in ("a", "n", "radius", "block", "blocks", "token", "label", "maps"):
+            setattr(self, name, getattr(self, name)[order])
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+        self.start = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.start, len(order)))
+
+    def passes(self, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Flags of the pairs that size and bitmaps leave, and in how many bits these differ.
+
+        A group's bitmap is that of one member, and no other member's is farther from it than the radius.
+        """
+        n, both = self.n, self.n[i] + self.n[j]
+        least = np.minimum(n[i], n[j])
+        most = both - 2 * (-(-percent * both // (100 + percent)))
+        ok = (100 * least >= percent * (both - least)) & (most >= 0)
+        differ = np.full(len(i), 1 << 30)
+        differ[ok] = _differ(self.maps, i[ok], j[ok])
+        return ok & (differ <= most + self.radius[i] + self.radius[j]), differ
 
 
 def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     u = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0) if len(a) else np.zeros((0, 2), np.int64)
     u = u[u[:, 0] != u[:, 1]]
-    nil = pa.nulls(len(u), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), nil, nil.cast(pa.int32()), pa.nulls(len(u), pa.binary())], names=["a", "b", "token", "n", "bitmap"])
+    nil = pa.nulls(len(u), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), pa.nulls(len(u), pa.int64()), nil, nil, nil, nil, pa.nulls(len(u), pa.binary())], names=_NAMES)
 
 
 def _round_one(percent: int):
-    """Pairs to verify first; members of large buckets are handed on as entries for round two."""
+    """Pairs to look at first; entries of large buckets are handed on for round two (token not null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _arrays(batches, False)
-        if got is None:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
-        cid, token, n, maps, _, start, size = got
-        big = np.repeat(size > NEAR + 1, size)
-        head, place = np.repeat(start, size), np.arange(len(cid)) - np.repeat(start, size)
-        best, with_ = np.full(len(cid), 1 << 29), np.full(len(cid), -1)
+        e = _Bucket(got, ("token", "block"))
+        big = np.repeat(e.size > NEAR + 1, e.size) | (e.blocks > 1)
+        head, place = np.repeat(e.start, e.size), np.arange(len(e.a)) - np.repeat(e.start, e.size)
+        best, with_ = np.full(len(e.a), 1 << 29), np.full(len(e.a), -1)
         a, b = [], []
         for s in range(1, NEAR + 1):
             i = np.flatnonzero(place >= s)
-            ok, differ = _passes(n, maps, i, i - s, percent)
+            ok, differ = e.passes(i, i - s, percent)
             i, differ = i[ok], differ[ok]
-            a.append(cid[i[~big[i]]])
-            b.append(cid[i[~big[i]] - s])
+            a.append(e.a[i[~big[i]]])
+            b.append(e.a[i[~big[i]] - s])
             better = big[i] & (differ < best[i])
             best[i[better]], with_[i[better]] = differ[better], i[better] - s
         i = np.flatnonzero(with_ >= 0)
-        a.append(cid[i])
-        b.append(cid[with_[i]])
+        a.append(e.a[i])
+        b.append(e.a[with_[i]])
         i = np.flatnonzero(big & (place > 0))
-        ok, _ = _passes(n, maps, i, head[i], percent)
-        a.append(cid[i[ok]])
-        b.append(cid[head[i[ok]]])
+        ok, _ = e.passes(i, head[i], percent)
+        a.append(e.a[i[ok]])
+        b.append(e.a[head[i[ok]]])
         yield _pair_batch(np.concatenate(a), np.concatenate(b))
         i = np.flatnonzero(big)
         for s in range(0, len(i), 20_000):
             x = i[s : s + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(cid[x]), pa.array(cid[x]), pa.array(token[x]), pa.array(n[x].astype(np.int32)), pa.array([m.tobytes() for m in maps[x]], pa.binary())], names=["a", "b", "token", "n", "bitmap"])
+            yield _table(e.a[x], e.a[x], e.token[x], e.block[x], e.blocks[x], e.n[x], e.radius[x], [m.tobytes() for m in e.maps[x]]).combine_chunks().to_batches()[0]
 
     return run
 
 
 def _round_two(percent: int):
-    """Of the large buckets: pairs that pass the filters and lie in different components (column b)."""
+    """Of the large buckets: pairs that pass the filters and have different labels (column b). Rows come by token and pair of blocks i, j."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _arrays(batches, True)
-        if got is None:
+    def pairs(e: _Bucket, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        c, block, sizes = e.label, e.block, e.n
+        names, which, many = np.unique(c, return_inverse=True, return_counts=True)
+        if len(names) < 2:
             return
-        cid, token, n, maps, comp, start, size = got
-        a, b = [], []
-        for lo, m in zip(start.tolist(), size.tolist(), strict=True):
-            c = comp[lo : lo + m]
-            names, which, many = np.unique(c, return_inverse=True, return_counts=True)
-            if len(names) < 2:
+        # members outside the largest component against all members of possible size
+        for x in np.flatnonzero(which != many.argmax()).tolist():
+            p, q = np.searchsorted(sizes, -(-percent * sizes[x] // 100), "left"), np.searchsorted(sizes, 100 * sizes[x] // percent, "right")
+            j = np.arange(p, q)
+            j = j[(c[j] != c[x]) & ((block[j] != block[x]) if cross else True)]
+            if len(j):
+                ok, _ = e.passes(np.full(len(j), x), j, percent)
+                yield np.full(int(ok.sum()), e.a[x]), e.a[j[ok]]
+
+    def done(key: tuple, held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        got = list(pairs(_Bucket(held, ("token",)), key[1] != key[2]))
+        return _pair_batch(*(np.concatenate(x) for x in zip(*got, strict=True))) if got else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:  # sorted by token, i, j
+            if not batch.num_rows:
                 continue
-            # members outside the largest component against all members of possible size
-            others = np.flatnonzero(which != many.argmax())
-            sizes = n[lo : lo + m]
-            for x in others.tolist():
-                p = np.searchsorted(sizes, -(-percent * sizes[x] // 100), "left")
-                q = np.searchsorted(sizes, 100 * sizes[x] // percent, "right")
-                j = np.arange(p, q)
-                j = j[c[j] != c[x]]
-                if len(j):
-                    ok, _ = _passes(n, maps, np.full(len(j), lo + x), lo + j, percent)
-                    a.append(np.full(int(ok.sum()), cid[lo + x]))
-                    b.append(cid[lo + j[ok]])
-        if a:
-            yield _pair_batch(np.concatenate(a), np.concatenate(b))
+            keys = np.column_stack([np.asarray(batch.column(batch.schema.get_field_index(k))).astype(np.int64) for k in ("token", "i", "j")])
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                now = tuple(keys[lo].tolist())
+                if now != key and held:
+                    if (out := done(key, held)) is not None:
+                        yield out
+                    held = []
+                key = now
+                held.append(batch.slice(lo, hi - lo))
+        if held and (out := done(key, held)) is not None:
+            yield out
 
     return run
 
@@ -344,6 +401,38 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def _expanded(pairs: DataFrame, multi: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Group pairs as member pairs where both groups have one member, else as buckets of both groups' members."""
+    m = multi.select(F.col("gid").alias("m_"))
+    side = lambda df, c: df.join(m.withColumnRenamed("m_", f"m{c}"), F.col(c) == F.col(f"m{c}"), "left")
+    flagged = side(side(pairs, "a"), "b")
+    plain = flagged.where("ma is null and mb is null").select("a", "b")
+    mixed = flagged.where("ma is not null or mb is not null").select(F.xxhash64("a", "b").alias("token"), F.explode(F.array("a", "b")).alias("g"))
+    return plain, _member_entries(mixed.join(members, F.col("g") == F.col("gid")))
+
+
+def _member_entries(rows: DataFrame) -> DataFrame:
+    zero = F.lit(0)
+    return rows.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), "token", zero.alias("block"), F.lit(1).alias("blocks"), F.col("n").cast("int").alias("n"), zero.alias("radius"), "bitmap")
+
+
+def _groups_of(members: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups with the bitmap of their first member and its distance to the farthest one, and the groups of several members."""
+    multi = stage(groups.where("members > 1").select("gid"), "multi")
+    first = members.where("doc_id = gid").select("gid", "n", "bitmap", "prefix")
+    several = members.join(multi.withColumnRenamed("gid", "g_"), F.col("gid") == F.col("g_"), "left_semi").select(F.col("gid").alias("g_"), F.col("bitmap").alias("own"))
+    far = several.join(first.select("gid", "bitmap"), F.col("g_") == F.col("gid")).select("gid", "own", "bitmap")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (1, 2))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bitwise_count(x ^ y).sum(axis=1).astype(np.int32))], names=["g_", "r"])
+
+    radius = far.mapInArrow(run, "g_ long, r int").groupBy("g_").agg(F.max("r").alias("r"))
+    return stage(first.join(radius, F.col("gid") == F.col("g_"), "left").select("gid", "n", "bitmap", "prefix", F.coalesce("r", F.lit(0)).alias("radius")), "groups"), multi
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; links are pairs with at least `percent` % similarity."""
     spark = docs.sparkSession
@@ -351,26 +440,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.count()
     width = 1 << min(22, max(14, int(rows).bit_length() + 2))
-    sets = stage(prefix_sets(docs, k, percent, _frequency_sketch(docs, k, width)), "sets")
+    sketch = _frequency_sketch(docs, k, width)
+    sets = stage(prefix_sets(docs, k, percent, sketch), "sets")
     real = sets.where("n > 0 and doc_id is not null")
     classes = stage(real.groupBy("n", "s1", "s2", "prefix_hash").agg(F.min("doc_id").alias("cid")), "classes")
-    groups = stage(classes.groupBy("n", "prefix_hash").agg(F.min("cid").alias("gid"), F.count("*").alias("members")), "groups")
+    by_prefix = stage(classes.groupBy("n", "prefix_hash").agg(F.min("cid").alias("gid"), F.count("*").alias("members")), "by_prefix")
     # one row per class, with its group
-    members = classes.join(groups, ["n", "prefix_hash"]).select("cid", "gid", "s1", "s2", "n")
-    members = stage(sets.join(members.select(F.col("cid").alias("doc_id"), "gid", "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"]).select("doc_id", "n", "gid", "bitmap", "wide", F.when(F.col("doc_id") == F.col("gid"), F.col("prefix")).alias("prefix")), "members")
-    parts, buckets = 2 * n, max(n, rows // sd.DOCS_PER_BUCKET)
-    prefixes = members.where("prefix is not null").select("doc_id", "prefix", "n").mapInArrow(_prefix_rows(parts), sd._ROWS)
-    shared = stage(prefixes.repartition(n, "part").mapInArrow(_shared_tokens(buckets, percent), sd._ROWS), "shared")
-    bucketed = sd.in_buckets(members.drop("prefix", "wide"), "gid", buckets)
-    entries = bucketed.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_entries, _ENTRY)
-    one = stage(entries.repartition(n, "token").mapInArrow(_round_one(percent), _ENTRY), "round1")
-    links = stage(verified(sifted(one.where("token is null").select("a", "b").distinct(), members, percent), docs, k, percent), "links1")
-    large = one.where("token is not null")
-    if not large.isEmpty():
+    of = classes.join(by_prefix, ["n", "prefix_hash"]).select("cid", "gid", "s1", "s2", "n")
+    members = stage(sets.join(of.select(F.col("cid").alias("doc_id"), "gid", "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"]).select("doc_id", "n", "gid", "bitmap", "wide", F.when(F.col("doc_id") == F.col("gid"), F.col("prefix")).alias("prefix")), "members")
+    groups, multi = _groups_of(members, by_prefix)
+    parts, buckets = max(n, rows // sd.DOCS_PER_PART), max(n // 2, rows // sd.DOCS_PER_BUCKET)
+    prefixes = groups.select("gid", "prefix", "n").mapInArrow(_prefix_rows(parts, buckets, sketch), sd._ROWS)
+    shared = stage(prefixes.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_shared_tokens(parts, buckets, percent), sd._ROWS), "shared")
+    entries = sd.in_buckets(groups.drop("prefix"), "gid", buckets).groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_entries, _ENTRY)
+    first = lambda e: e.repartition(n, "token", "block").mapInArrow(_round_one(percent), _ENTRY)
+    plain = members.select("doc_id", "n", "gid", "bitmap")
+    # group pairs, then their members; members of one group meet as well
+    group_one = stage(first(entries), "groups1")
+    direct, mixed = _expanded(group_one.where("token is null").select("a", "b").distinct(), multi, plain)
+    inner = plain.join(multi.withColumnRenamed("gid", "g_"), F.col("gid") == F.col("g_"), "left_semi").withColumn("token", F.xxhash64("gid", F.lit("group")))
+    member_one = stage(first(mixed.unionByName(_member_entries(inner))), "members1")
+    one = direct.unionByName(member_one.where("token is null").select("a", "b")).distinct()
+    links = stage(verified(sifted(one, members, percent), docs, k, percent), "links1")
+    large_groups, large_members = group_one.where("token is not null"), member_one.where("token is not null")
+    if not (large_groups.isEmpty() and large_members.isEmpty()):
         comp = stage(component_labels(links.select(F.explode(F.array("a", "b")).alias("node")), links), "labels1")
-        large = large.drop("b").join(comp.select(F.col("node").alias("a"), F.col("component").alias("b")), "a", "left").withColumn("b", F.coalesce("b", "a"))
-        two = stage(large.select("a", "b", "token", "n", "bitmap").repartition(n, "token").mapInArrow(_round_two(percent), _ENTRY).select("a", "b").distinct(), "round2")
-        links = stage(links.unionByName(verified(sifted(two, members, percent), docs, k, percent)).distinct(), "links2")
+        label = comp.select(F.col("node").alias("node_"), F.col("component").alias("label_"))
+        named = lambda e: e.drop("b").join(label, F.col("a") == F.col("node_"), "left").withColumn("b", F.coalesce("label_", "a")).drop("node_", "label_")
+        # a group whose members lie in several components has a label of its own
+        whole = plain.join(multi.withColumnRenamed("gid", "g_"), F.col("gid") == F.col("g_"), "left_semi").join(label, F.col("doc_id") == F.col("node_"), "left").withColumn("c", F.coalesce("label_", "doc_id"))
+        whole = stage(whole.groupBy(F.col("gid").alias("g_")).agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "labels")
+        grouped = named(large_groups).join(whole, F.col("a") == F.col("g_"), "left").withColumn("b", F.when(F.col("lo") < F.col("hi"), F.xxhash64(F.lit("own"), "a")).otherwise(F.coalesce("lo", "b"))).drop("g_", "lo", "hi")
+        deal = lambda e: e.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).select(*_NAMES, "i", "j")
+        second = lambda e: deal(e).repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_round_two(percent), _ENTRY).select("a", "b").distinct()
+        group_two = stage(second(grouped), "groups2")
+        direct, mixed = _expanded(group_two, multi, plain)
+        member_two = stage(second(named(large_members.unionByName(mixed))), "members2")
+        links = stage(links.unionByName(verified(sifted(direct.unionByName(member_two).distinct(), members, percent), docs, k, percent)).distinct(), "links2")
     comp = component_labels(links.select(F.explode(F.array("a", "b")).alias("node")), links)
     labels = classes.join(comp.select(F.col("node").alias("cid"), "component"), "cid", "left").select("n", "s1", "s2", F.coalesce("component", "cid").alias("component_id"))
     out = sets.select("doc_id", "n", "s1", "s2").join(labels, ["n", "s1", "s2"], "left")
