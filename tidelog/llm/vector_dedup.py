@@ -224,9 +224,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     fine = F.coalesce((F.size("embedding") == dim) & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     v = v.withColumn("fine", fine & F.col("id").isNotNull() & F.lit(dim > 0))
+    # equal vectors meet by 128 bits of hash, so that vectors themselves move once only to be classed
+    key = F.struct(F.xxhash64("embedding").alias("h"), F.xxhash64(F.lit(7), "embedding").alias("g"))
     # a vec_id's equal vectors count once; vec_ids with several vectors belong to several classes
-    nodes = v.where("fine").select("id", "embedding")
-    twice = stage(nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("twice")), "twice")
+    nodes = v.where("fine").select("id", key.alias("key"), "embedding")
+    twice = stage(nodes.select("id").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("twice")), "twice")
     repeated = not twice.isEmpty()
     if repeated:
         again = stage(nodes.join(twice, F.col("id") == F.col("twice"), "left_semi").distinct(), "again")
@@ -235,8 +237,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     else:
         nodes = nodes.withColumn("flag", F.lit(0))
     # weight: the vec_ids of this class alone
-    classes = nodes.groupBy("embedding").agg(F.min("id").alias("least"), F.sum(1 - F.col("flag")).cast("long").alias("weight"), F.max("flag").alias("flag"))
-    classes = stage(classes.select(F.monotonically_increasing_id().alias("cid"), "least", "weight", "flag", "embedding"), "classes")
+    classes = nodes.groupBy("key").agg(F.min("id").alias("least"), F.sum(1 - F.col("flag")).cast("long").alias("weight"), F.max("flag").alias("flag"), F.first("embedding").alias("embedding"))
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "least", "weight", "flag", "embedding"), "classes")
     count = classes.count()
     nothing = v.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     if not count:
@@ -246,7 +248,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     edges = links.select("a", "b")
     of = None
     if repeated:  # the classes of one vec_id are one component
-        of = stage(nodes.where("flag = 1").join(classes.select("cid", F.col("embedding").alias("e")), F.col("embedding") == F.col("e")).select("id", "cid"), "of")
+        of = stage(nodes.where("flag = 1").select("id", "key").join(classes.select("cid", F.col("key").alias("e")), F.col("key") == F.col("e")).select("id", "cid"), "of")
         low = of.groupBy("id").agg(F.min("cid").alias("b"))
         edges = edges.unionByName(of.join(low, "id").select(F.col("cid").alias("a"), "b"))
     comp = component_labels(edges.select(F.explode(F.array("a", "b")).alias("node")), edges)
@@ -254,9 +256,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     comp = classes.select("cid", "least").join(comp, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("component", "cid").alias("component"))
     names = comp.groupBy("component").agg(F.min("least").alias("component_id"))
     degree = links.groupBy("a").agg(F.sum("n").alias("n"))
-    known = classes.join(comp.select("cid", "component"), "cid").join(names, "component").join(degree, F.col("cid") == F.col("a"), "left")
-    known = known.select(F.col("embedding").alias("e"), "cid", F.col("flag").alias("odd"), (F.coalesce("n", F.lit(0)) + F.col("weight")).alias("met"), "component_id")
-    got = v.where("fine").join(known, F.col("embedding") == F.col("e")).select("id", "cid", "met", "component_id")
+    known = classes.drop("embedding").join(comp.select("cid", "component"), "cid").join(names, "component").join(degree, F.col("cid") == F.col("a"), "left")
+    known = known.select(F.col("key").alias("e"), "cid", F.col("flag").alias("odd"), (F.coalesce("n", F.lit(0)) + F.col("weight")).alias("met"), "component_id")
+    got = v.where("fine").select("id", key.alias("key")).join(known, F.col("key") == F.col("e")).select("id", "cid", "met", "component_id")
     if not repeated:
         return got.select("id", (F.col("met") - 1).alias("n_links"), "component_id").unionByName(nothing)
     # vec_ids of several classes: counted once each, from the links of flagged classes
