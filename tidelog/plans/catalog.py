@@ -11,6 +11,7 @@ from tidelog.plans import fixtures as fx
 from tidelog.plans.fixtures import ATTEMPTS, CHANGES, FOREST, MESSAGES, STREAMS, off_sql
 from tidelog.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from tidelog.sources import jsonl
+from tidelog.sources.shared import cut
 from tidelog.streaming import live
 
 # -- scans and offsets ---------------------------------------------------------------------------------------------
@@ -245,7 +246,7 @@ def config_match(spark, d):
 
 @query(f"WITH {FOREST} SELECT leaf AS stream_id, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, max(place) AS last FROM anc JOIN m ON m.id=anc.a AND (hi IS NULL OR place<=hi) GROUP BY 1")
 def fork_chain_read(spark, d):
-    f = fx.forest(spark, d)
+    f = cut(fx.forest(spark, d), "forest")
     got = lineage.chain_read(fx.forest_messages(spark, d, f), f)
     return got.groupBy(F.col("stream_id").cast("long").alias("stream_id")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.max(F.substring("offset", 1, 16).cast("long")).alias("last"))
 
