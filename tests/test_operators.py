@@ -128,6 +128,18 @@ def test_log_table_round_trip(spark, tmp_path):
     assert sorted(r.timestamp for r in logtable.read(spark, str(tmp_path / "log")).collect()) == list(range(5))
 
 
+def test_tail_stream_gives_what_is_new(spark, tmp_path):
+    path = str(tmp_path / "log")
+    put = lambda *at: logtable.write(spark.createDataFrame([("s", off(i), i, bytes([i])) for i in at], logtable.SCHEMA), path)
+    seen = []
+    drain = lambda: logtable.tail_stream(spark, path).writeStream.foreachBatch(lambda b, _: seen.append(sorted(r.timestamp for r in b.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    put(1, 2)
+    drain()
+    put(3)
+    drain()
+    assert seen == [[1, 2], [3]]
+
+
 def test_view_delta(spark):
     a, b = (spark.createDataFrame(x, "k long, v string") for x in ([(1, "x"), (2, "y"), (3, "z")], [(2, "y"), (3, "w"), (4, "n")]))
     assert {(r.k, r.delta) for r in views.view_delta(a, b, ["k"], "v").collect()} == {(1, "exit"), (3, "update"), (4, "enter")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote, unquote
+from urllib.parse import unquote
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -105,10 +105,6 @@ def stream_of(directory: str) -> str:
     return unquote(directory)
 
 
-def path_url(base: str, stream_id: str) -> str:
-    return base.rstrip("/") + "/" + "/".join(quote(p, safe="-_.!~*'()") for p in stream_id.split("/"))
-
-
 def _encoded(text: Column, keep: str) -> Column:
     """Percent-encoding of UTF-8 where letters, digits and the characters `keep` stay."""
     got = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))

@@ -249,3 +249,21 @@ def live_read(spark, d):
     at = F.concat(F.lpad((k % 40).cast("string"), 16, "0"), F.lit("_" + "0" * 16))
     readers = s.select("stream_id", F.when(k % 3 == 0, "now-and-then").when(k % 3 == 1, at).otherwise(F.col("current_offset")).alias("from"))
     return scan.live_step(fx.messages(spark, d), s, readers)
+
+
+@query("""SELECT epoch_ms(date_trunc('hour', ts)) AS start_ms, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def stream_windowed_counts(spark, d):
+    e = _thirds(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    got = live.windowed_counts(e, "1 hour", "400 days", fx.shared_path(spark, "windows"))
+    return got.select(F.unix_millis("start").alias("start_ms"), "event_type", F.col("count").alias("n"))
+
+
+@query(f"""WITH {MESSAGES}, {STREAMS} SELECT 'message' AS what, count(*) AS n FROM messages JOIN streams USING (stream_id) WHERE NOT soft_deleted UNION ALL SELECT 'producer', count(*) FROM (SELECT DISTINCT user_id, event_type FROM events) WHERE user_id%11<>0
+ UNION ALL SELECT 'record', count(*) FROM streams WHERE NOT soft_deleted""")
+def plain_purge(spark, d):
+    """Soft-deleted streams are purged: messages, producers and records go together."""
+    s, m = fx.streams(spark, d), fx.messages(spark, d)
+    producers = m.select("stream_id", "event_type").distinct()
+    left = lineage.purge({"message": m, "producer": producers, "record": s}, s.where("soft_deleted").select("stream_id"))
+    count = lambda name: left[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+    return count("message").unionByName(count("producer")).unionByName(count("record"))

@@ -196,6 +196,6 @@ class ReadSession:
 def windowed_counts(events: DataFrame, size: str, late: str, path: str) -> DataFrame:
     """Event-time counts with a watermark (an extension: the log itself orders by arrival only)."""
     got = events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").count()
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/view")
+    write = lambda batch, _: batch.select(F.col("window.start").alias("start"), "event_type", "count").write.mode("overwrite").parquet(f"{path}/view")
     _drain(got.writeStream.outputMode("complete").foreachBatch(write), path)
-    return events.sparkSession.read.parquet(f"{path}/view").select(F.col("window.start").alias("start"), "event_type", "count")
+    return events.sparkSession.read.schema("start timestamp, event_type string, count long").parquet(f"{path}/view")
