@@ -112,8 +112,12 @@ def prefix_sets(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Da
                 place = np.arange(len(g)) - first[r]
                 inside = place < need[r]
                 np.add.at(ph, r[inside], mix64(g[inside] ^ np.uint64(3)))
-                bits = np.bincount(r * BITS + (g >> np.uint64(54)).astype(np.int64), minlength=rows * BITS) & 1
-                maps = np.packbits(bits.astype(np.uint8).reshape(rows, BITS), axis=1)
+                maps = []
+                for lo in range(0, rows, 1024):
+                    hi = min(lo + 1024, rows)
+                    a, b = first[lo], first[hi]
+                    bits = np.bincount((r[a:b] - lo) * BITS + (g[a:b] >> np.uint64(54)).astype(np.int64), minlength=(hi - lo) * BITS) & 1
+                    maps.extend(np.packbits(bits.astype(np.uint8).reshape(-1, BITS), axis=1))
                 wide: list[bytes | None] = [None] * rows
                 for i in np.flatnonzero(n > LONG).tolist():  # about one bit per n-gram
                     size = int(n[i] - 1).bit_length()
