@@ -84,6 +84,24 @@ def test_a_writer_that_never_wins_is_busy_and_writes_nothing(spark, tmp_path, mo
     assert LogStore(spark, log.folder).version() == 1
 
 
+def test_a_dead_writer_holds_nobody_up(spark, tmp_path, monkeypatch):
+    log = made(spark, tmp_path / "log")
+    monkeypatch.setattr(store, "STALE_S", 0.2)
+    (tmp_path / "log" / "versions" / f"{2:020d}.lock").write_text("")  # it took the version and died
+    assert answers(log.append(put(spark, ("a", b"3", "application/json", None, None, None, None, False, None)), T0)) == ["appended"]
+    assert log.version() == 2 and log._put(2, {}) is False
+
+
+def test_compaction_keeps_what_is_there(spark, tmp_path):
+    log = made(spark, tmp_path / "log")
+    log.append(put(spark, ("a", b"3", "application/json", None, None, None, None, False, None), ("b", b"x", "text/plain", None, None, None, None, False, None)), T0)
+    log.delete(spark.createDataFrame([("b",)], "stream_id string"), T0)
+    before = sorted(map(str, log.snapshot().messages.collect()))
+    log.compact()
+    snap = log.snapshot()
+    assert sorted(map(str, snap.messages.collect())) == before and len(snap.tables["messages"]) == 1 and snap.stored.count() == 3
+
+
 def test_hooks_see_commits_and_their_errors_stay_theirs(spark, tmp_path):
     log, seen = made(spark, tmp_path / "log"), []
 

@@ -24,6 +24,8 @@ from tidelog.functions import media, offsets
 from tidelog.operators import admit, create, expiry, lineage, scan
 
 ATTEMPTS = 8
+#: How long a writer waits for another's commit before it takes that one for dead.
+STALE_S = 30
 RECORD = f"{create.RECORD}, incarnation long"
 MESSAGE = "stream_id string, incarnation long, offset string, timestamp long, data binary"
 PRODUCER = "stream_id string, producer_id string, epoch long, last_seq long"
@@ -64,6 +66,8 @@ class LogStore:
         jvm = spark.sparkContext._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.folder).makeQualified(self._fs.getUri(), self._fs.getWorkingDirectory()).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        self._no_overwrite = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         self._fs.mkdirs(self._path(f"{self.folder}/versions"))
 
     # -- versions ------------------------------------------------------------------------------------------------
@@ -88,40 +92,55 @@ class LogStore:
         lock = self._path(f"{self.folder}/versions/{version:020d}.lock")
         try:
             self._fs.create(lock, False).close()  # only one writer makes it
-        except Exception as e:  # noqa: BLE001
+        except Exception:  # noqa: BLE001
             if not self._fs.exists(lock):
-                raise e
+                raise
             return False
         out = self._fs.create(aside, True)
         out.write(bytearray(json.dumps(tables).encode()))
         out.close()
-        return self._fs.rename(aside, name)
+        try:
+            self._context.rename(aside, name, self._no_overwrite)
+        except Exception:  # noqa: BLE001
+            if not self._fs.exists(name):
+                raise
+            return False  # the lock was taken for a dead writer's
+        return True
+
+    def _await_winner(self, version: int) -> None:
+        """Wait for the manifest of a version that another writer is making; if it has died, free the version."""
+        end = time.monotonic() + STALE_S
+        while self.version() < version:
+            if time.monotonic() > end:
+                self._fs.delete(self._path(f"{self.folder}/versions/{version:020d}.lock"), False)
+                return
+            time.sleep(0.02)
 
     def _write(self, df: DataFrame, name: str) -> str:
         path = f"{self.folder}/data/{uuid.uuid4().hex}/{name}"
         df.write.parquet(path)
         return path
 
-    def _commit(self, plan: Callable[[Snapshot, int], tuple], now_ms: int) -> DataFrame:
-        """plan(snapshot, next version) gives (answers, records, producers, messages or None); records None: nothing to commit."""
+    def _commit(self, plan: Callable[[Snapshot, int], tuple], replace: bool = False) -> DataFrame:
+        """plan(snapshot, next version) gives (answers, records, producers or None, messages or None).
+
+        replace: the messages stand for all that were there.
+        """
         for _ in range(ATTEMPTS):
             snap = self.snapshot()
             answers, records, producers, messages = plan(snap, snap.version + 1)
             path = self._write(answers, "answers")
             answers = self.spark.read.schema(answers.schema).parquet(path)
-            if records is None:
-                return answers
             tables = dict(snap.tables)
             tables["records"] = [self._write(records.select(*[x.split()[0] for x in RECORD.split(", ")]), "records")]
             if producers is not None:
                 tables["producers"] = [self._write(producers, "producers")]
             if messages is not None:
-                tables["messages"] = [*tables["messages"], self._write(messages.repartitionByRange("stream_id", "offset").sortWithinPartitions("stream_id", "offset"), "messages")]
+                tables["messages"] = [*([] if replace else tables["messages"]), self._write(messages.repartitionByRange("stream_id", "offset").sortWithinPartitions("stream_id", "offset"), "messages")]
             if self._put(snap.version + 1, tables):
                 self._committed(snap.version + 1, answers)
                 return answers
-            while self.version() <= snap.version:  # the winner's manifest is on its way
-                time.sleep(0.01)
+            self._await_winner(snap.version + 1)
         lost = F.when(F.col("expected_offset").isNotNull(), "conflict:expected-offset").otherwise("busy") if "expected_offset" in answers.columns else F.lit("busy")
         return answers.withColumn("status", lost)
 
@@ -195,7 +214,7 @@ class LogStore:
             producers = snap.producers.join(purged.select("stream_id"), "stream_id", "left_anti")
             return answers, records.unionByName(made), producers, messages.withColumn("incarnation", F.lit(version).cast("long"))
 
-        return self._commit(plan, now_ms)
+        return self._commit(plan)
 
     def append(self, attempts: DataFrame, now_ms: int) -> DataFrame:
         """Appends: stream_id, arrival, body, content_type, seq, producer_id, producer_epoch, producer_seq, close, expected_offset."""
@@ -211,7 +230,7 @@ class LogStore:
             path = self._write(got, "admitted")
             got = self.spark.read.schema(got.schema).parquet(path)
             answers = got.join(attempts.select("stream_id", "arrival", "expected_offset"), ["stream_id", "arrival"]).select(
-                "stream_id", "arrival", "status", "before", F.coalesce("tail", F.lit(None)).alias("next_offset"), "closed", "changed", "expected_offset"
+                "stream_id", "arrival", "status", "before", F.col("tail").alias("next_offset"), "closed", "changed", "expected_offset"
             )
             done = got.where("changed")
             last = done.groupBy(F.col("stream_id").alias("l_")).agg(F.max_by(F.struct("tail", "closed", "last_seq"), "arrival").alias("now_"))
@@ -227,7 +246,7 @@ class LogStore:
             m = create.messages_of(accepted, "items_", "before", now_ms, self.scheme).join(known.select(F.col("r_").alias("stream_id"), "incarnation"), "stream_id")
             return answers, r, admit.upsert(kept, p, ["stream_id", "producer_id"]), m
 
-        return self._commit(plan, now_ms)
+        return self._commit(plan)
 
     def delete(self, ids: DataFrame, now_ms: int) -> DataFrame:
         """Delete streams (stream_id): purged, retained-soft-deleted, gone or not-found, each as of before the batch."""
@@ -243,7 +262,7 @@ class LogStore:
             producers = snap.producers.join(purged.select("stream_id"), "stream_id", "left_anti")
             return got.select("stream_id", status.alias("status")), left, producers, None
 
-        return self._commit(plan, now_ms)
+        return self._commit(plan)
 
     def expire(self, now_ms: int) -> DataFrame:
         """Delete all streams whose time has come: (stream_id, status)."""
@@ -257,12 +276,22 @@ class LogStore:
             status = F.when(F.col("n_").isNotNull(), "purged").otherwise("retained-soft-deleted")
             return got.select("stream_id", status.alias("status")), left, snap.producers.join(purged.select("stream_id"), "stream_id", "left_anti"), None
 
-        return self._commit(plan, now_ms)
+        return self._commit(plan)
+
+    def compact(self) -> None:
+        """Write the messages of present streams into one folder; what purged streams left behind is no longer named."""
+        self._may("delete")
+
+        def plan(snap: Snapshot, version: int):
+            kept = snap.stored.join(snap.records.select("stream_id", "incarnation"), ["stream_id", "incarnation"], "left_semi")
+            return snap.records.select("stream_id").limit(0), snap.records, None, kept
+
+        self._commit(plan, replace=True)
 
     def touch(self, reads: DataFrame, now_ms: int) -> DataFrame:
         """Slide the expiry of streams that were read (stream_id, at_ms, reason)."""
         self._may("touch")
-        return self._commit(lambda snap, version: (reads, expiry.touch(self._fresh(snap, now_ms)[0], reads), None, None), now_ms)
+        return self._commit(lambda snap, version: (reads, expiry.touch(self._fresh(snap, now_ms)[0], reads), None, None))
 
     def read(self, requests: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
         """Catch-up reads (stream_id, from) through forks: (answers, messages after the place in order of stream and offset)."""
