@@ -85,6 +85,19 @@ def test_runs_are_sorted_and_wake_single_holders(spark):
         assert found > 0 if log is index.anchors else found == 28
 
 
+def test_chunks_take_nulls_slices_and_long_texts(monkeypatch):
+    import pyarrow as pa
+
+    from tidelog.llm import wordscan
+
+    monkeypatch.setattr(wordscan, "CHUNK", 8)
+    texts = ["ab", None, "", "é" * 30, None, "c d", "x"]
+    loose = pa.StringArray.from_buffers(3, pa.array([0, 2, 4, 5], pa.int32()).buffers()[1], pa.py_buffer(b"abXYz"), pa.py_buffer(bytes([0b101])))  # a null over bytes
+    for arr, want in ((pa.array(texts), texts), (pa.array(texts, pa.large_string()), texts), (pa.array(["no", *texts, "no"]).slice(1, 7), texts), (pa.array([None, None], pa.string()), [None] * 2), (loose, ["ab", None, "z"])):
+        got = [bytes(data[a:b]).decode() for _, data, off in wordscan.chunks(pa.RecordBatch.from_arrays([arr], names=["text"]), "text") for a, b in zip(off, off[1:], strict=False)]
+        assert got == [t or "" for t in want]
+
+
 def test_buckets_agree_with_spark(spark):
     ids = np.array([0, 1, -1, 5, 1 << 62, -(1 << 63), (1 << 63) - 1, 123456789], np.int64)
     got = {r.i: r.part for r in substring_dedup.in_buckets(spark.createDataFrame([(int(i),) for i in ids], "i long"), "i", 97).collect()}
@@ -537,3 +550,26 @@ def test_taken_against_a_plain_queue(spark, rows, docs):
     for v in by.items():
         want.update((i, v[0], size, 0) for _, size, i in v[1] if not size)
     assert got == want
+
+
+def test_queries_delete_only_what_they_staged(spark, fixture_dir):
+    """Also beside each other: the staged tables of one query are not those of another."""
+    import threading
+
+    from tidelog.llm import common
+
+    common.release(spark)
+    got = {}
+
+    def run(name):
+        got[name] = registry.QUERIES[name](spark, fixture_dir).count()
+
+    threads = [threading.Thread(target=run, args=(n,)) for n in ("op6_source_mixing", "op10_quality_classifier", "op3_quality_rules")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(set(got.values())) == 1 and len(got) == 3
+    assert [p.rpartition("/")[2] for p in common._staged] == ["result"] * 3
+    common.release(spark)
+    assert common._staged == []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import functools
 import re
 import uuid
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 OWN_SHARED = "/tmp/checkpoints/tidelog"
+#: Folders staged by this driver, as far as no query of its own scope deletes them.
 _staged: list[str] = []
+_scope: contextvars.ContextVar[list[str]] = contextvars.ContextVar("staged", default=_staged)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/tidelog-stage/{uuid.uuid4().hex}/{name}"
-    _staged.append(path)
+    _scope.get().append(path)
     return path
 
 
@@ -50,30 +53,33 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Delete the tables staged by this driver after the first `since`, but for the last `keep`.
-
-    Results that still read them must be written before.
-    """
-    end = len(_staged) - keep
-    for path in _staged[since:end]:
-        drop_path(spark, path.rpartition("/")[0])
-    del _staged[since:end]
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete staged tables: the given ones, else all of this driver's. Results that still read them must be written before."""
+    paths = _staged if paths is None else paths
+    while paths:
+        drop_path(spark, paths.pop().rpartition("/")[0])
 
 
-def staged_count() -> int:
-    return len(_staged)
+def settle(spark: SparkSession, make, name: str) -> tuple[DataFrame, str]:
+    """The table that make() returns, staged, and its folder; all that make() stages on the way is deleted."""
+    mine: list[str] = []
+    token = _scope.set(mine)
+    try:
+        made = make()
+        _scope.reset(token)
+        return stage(made, name), _scope.get()[-1]
+    finally:
+        if _scope.get() is mine:
+            _scope.reset(token)
+        release(spark, mine)
 
 
 def settled(query):
-    """A query that stages its result and deletes all that it staged on the way."""
+    """A query that stages its result and deletes all that it staged on the way, whatever other queries run beside it."""
 
     @functools.wraps(query)
     def run(spark: SparkSession, *args) -> DataFrame:
-        since = len(_staged)
-        out = stage(query(spark, *args), "result")
-        release(spark, since, keep=1)
-        return out
+        return settle(spark, lambda: query(spark, *args), "result")[0]
 
     return run
 

@@ -41,7 +41,7 @@ from tidelog.llm.wordscan import mix64
 
 WIDTH, ANCHOR = 13, 5
 BATCHES, MOST_RUNS = 4, 2
-FLUSH = 2_000_000
+FLUSH = 500_000
 BROADCAST_IDS = 2_000_000
 DOCS_PER_BUCKET, DOCS_PER_PART = 1_000, 20_000
 _ROWS = "part int, hash binary, doc binary, extra binary"
@@ -409,8 +409,8 @@ def _window_rows(width: int, k: int, parts: int, buckets: int):
     return run
 
 
-def _kept(data: np.ndarray, off: np.ndarray, s: _Scan, hit: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Per row: words, removed words, kept words joined by one space."""
+def _kept(data: np.ndarray, off: np.ndarray, s: _Scan, hit: np.ndarray, always: bool) -> Iterator[tuple[int, int, bytes | None]]:
+    """Per row: words, removed words, kept words joined by one space (unless always, only where words are removed)."""
     n = len(off) - 1
     cover = np.zeros(len(s.h) + 1, np.int32)
     if len(hit):
@@ -422,34 +422,38 @@ def _kept(data: np.ndarray, off: np.ndarray, s: _Scan, hit: np.ndarray) -> Itera
     raw = data.tobytes()
     for i in range(n):
         if not removed[i]:
-            yield int(words[i]), 0, b" ".join(raw[off[i] : off[i + 1]].split())
+            yield int(words[i]), 0, b" ".join(raw[off[i] : off[i + 1]].split()) if always else None
         else:
             a, b = first[i], first[i + 1]
             keep = np.flatnonzero(~gone[a:b]) + a
             yield int(words[i]), int(removed[i]), b" ".join(raw[x:y] for x, y in zip(s.starts[keep].tolist(), s.ends[keep].tolist(), strict=True))
 
 
-def _result(width: int, schema: pa.Schema):
+def _result(width: int, schema: pa.Schema, text: bool):
     def rows(batch: pa.RecordBatch, marks: _Marks | None) -> Iterator[pa.RecordBatch]:
         for part, data, off in wordscan.chunks(batch, "text"):
             ids, ok = _ids(part)
             s = _Scan(data, off, ids, width, need_check=bool(marks))
             hit = s.at[ok[s.row[s.at]] & marks.has(s.f, s.doc, s.check)] if marks else _NONE
-            got = list(zip(*_kept(data, off, s, hit), strict=True)) or [(), (), ()]
+            got = list(zip(*_kept(data, off, s, hit, not text), strict=True)) or [(), (), ()]
             own = [pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([part.column(0), *own, *part.columns[2:]], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), *own, *part.columns[1 if text else 2 :]], schema=schema)
 
     return rows
 
 
 def cleaned(docs: DataFrame, marks: DataFrame, width: int, buckets: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) and the columns `keep` (under a leading _) of every row, from the windows to remove."""
-    docs = docs.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in keep])
+    """(doc_id, n_words, n_removed, kept) and the columns `keep` (under a leading _) of every row, from the windows to remove.
+
+    With `text` among `keep`, kept is null where nothing is removed.
+    """
+    text, more = "text" in keep, [c for c in keep if c != "text"]
+    docs = docs.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in more])
     some, rest = _of_marked(docs, marks)
-    ddl = docs.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept"), *docs.columns[2:]).schema
-    schema = to_arrow_schema(ddl)
-    schema = pa.schema([pa.field(f.name, f.type) for f in schema])
-    rows, names = _result(width, schema), docs.columns
+    extra = [F.col("text").alias("_text")] * text + [F.col(f"_{c}") for c in more]
+    ddl = docs.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept"), *extra).schema
+    schema = pa.schema([pa.field(f.name, f.type) for f in to_arrow_schema(ddl)])
+    rows, names = _result(width, schema, text), docs.columns
 
     def plain(batches):
         for batch in batches:

@@ -43,15 +43,22 @@ def _pow(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return _powers[family][0][:n], _powers[family][1][:n]
 
 
+def _spans(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and row offsets of a text column, without a copy of the bytes where nulls are empty (as Spark has them)."""
+    wide = pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type)
+    off = np.frombuffer(arr.buffers()[1], np.int64 if wide else np.int32)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)
+    if arr.null_count and np.diff(off)[~np.asarray(arr.is_valid())].any():
+        return _spans(arr.cast(pa.large_binary()).fill_null(b""))
+    buf = arr.buffers()[2]
+    return (np.frombuffer(buf, np.uint8) if buf is not None else np.zeros(0, np.uint8)), off
+
+
 def chunks(batch: pa.RecordBatch, col: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batch with the slice's text bytes and row offsets into them."""
-    arr = batch.column(batch.schema.get_field_index(col)).cast(pa.large_binary()).fill_null(b"")
-    n = len(arr)
+    n = batch.num_rows
     if not n:
         return
-    off = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + n + 1]
-    buf = arr.buffers()[2]
-    data = np.frombuffer(buf, np.uint8) if buf is not None else np.zeros(0, np.uint8)
+    data, off = _spans(batch.column(batch.schema.get_field_index(col)))
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, "right")) - 1)
