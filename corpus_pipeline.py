@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import boosted_quality, mixing, ngram_join, packing, substring_dedup
-from tidelog.llm.common import crc_mod, release, stage, staged_count, table
+from tidelog.llm.common import crc_mod, drop_path, settle, stage, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -57,9 +57,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what a stage has staged on its way, and its input, are deleted when its result is written."""
-    docs = table(spark, sf_dir, "documents")
-    since = staged_count()
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
-        release(spark, since, keep=1)
+        docs, folder = settle(spark, lambda step=step, docs=docs: step(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            drop_path(spark, before)
+        before = folder
     return docs
