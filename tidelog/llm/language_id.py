@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm import caches
 from tidelog.llm.common import crc_mod, settled, table, unit_hash
 
 PART = 32
@@ -32,6 +33,7 @@ CACHE_WORDS = 300_000
 _RUN = re.compile(r"[^\W\d_]+")
 _B = np.uint64(0x100000001B3)
 _state: dict = {}
+caches.owner("language", _state.clear)
 
 
 def default_vocabulary() -> str:
@@ -200,6 +202,7 @@ def identify(docs: DataFrame, model: PieceModel) -> DataFrame:
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only("language")
         if _state.get("key") != key:
             _state.update(key=key, at={}, letters=0, rows=np.zeros((1 << 12, len(model.langs))))
         for batch in batches:

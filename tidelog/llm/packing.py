@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm import caches
 from tidelog.llm.common import settled, stage, table
 
 CAPACITY = 4096
@@ -46,12 +47,19 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _forget() -> None:
+    for kept in (_loaded, _cache, _old, _pieces, _old_pieces):
+        kept.clear()
+
+
+caches.owner("packing", _forget)
+
+
 def _tokenizer(path: str):
     if path not in _loaded:
         from tokenizers import Tokenizer
 
-        for kept in (_loaded, _cache, _old, _pieces, _old_pieces):
-            kept.clear()
+        _forget()
         _loaded[path] = Tokenizer.from_file(path)
     return _loaded[path]
 
@@ -130,6 +138,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
     end = int(closing).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only("packing")
         tok = _tokenizer(vocabulary)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from tidelog.llm import caches
+
 CHUNK = 1 << 20
 _IS_WS = np.zeros(256, bool)
 _IS_WS[[0x20, *range(0x09, 0x0E)]] = True
@@ -20,6 +22,7 @@ _LOWER[65:91] += 32
 _BASES = (0x9E3779B97F4A7C15, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _RUNS = 2
 _powers: dict[int, list[np.ndarray]] = {}
+caches.owner("words", _powers.clear)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -58,6 +61,7 @@ def chunks(batch: pa.RecordBatch, col: str) -> Iterator[tuple[pa.RecordBatch, np
     n = batch.num_rows
     if not n:
         return
+    caches.only("words")
     data, off = _spans(batch.column(batch.schema.get_field_index(col)))
     i = 0
     while i < n:
