@@ -208,6 +208,32 @@ def test_special_tokens_inside_words_keep_their_ids():
         assert next(packing.batch_ids([text.encode()], tok)) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_plain_words_go_through_the_merges_alone():
+    tok = packing._tokenizer(packing.default_vocabulary())
+    letters = [chr(c) for c in range(33, 0x180) if packing._PLAIN.fullmatch(chr(c))]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice([*letters, " ", "\n", "e", "t", "."], n)) for n in rng.integers(0, 3000, 60)] + ["".join(letters), " ".join(letters)]
+    plain = [t.encode() for t in texts]
+    mixed = [" ".join(["x\U0001f600y", "naïve", *t.split(), "it's", "3rd", "straße,", "ﬁn", "Ω"]).encode() for t in texts]
+    whole = lambda t: np.array(tok.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    class Counted:
+        seen: list[str] = []
+
+        def __getattr__(self, name):
+            return getattr(tok, name)
+
+        def encode(self, text, **more):
+            self.seen.append(text)
+            return tok.encode(text, **more)
+
+    packing._forget()
+    assert list(packing.batch_ids(plain, Counted())) == [whole(t) for t in plain]
+    assert Counted.seen == []
+    assert list(packing.batch_ids(mixed, Counted())) == [whole(t) for t in mixed]
+    assert sorted(Counted.seen) == sorted(["x\U0001f600y", "it's", "3rd", "ﬁn", "Ω"])
+
+
 def test_quality_rules(spark, rows, fixture_dir):
     got = collections.defaultdict(list)
     for r in registry.QUERIES["op3_quality_rules"](spark, fixture_dir).collect():

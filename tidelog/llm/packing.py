@@ -14,6 +14,8 @@ kept; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import codecs
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -38,6 +40,8 @@ _old_pieces: dict[str, bytes] = {}
 _LETTERS, _POINTS = "A-Za-zÀ-ÖØ-öø-įı-ž", r"!-&(-/:;=?-@\[-`{-~"
 _PLAIN = re.compile(f"[{_LETTERS}{_POINTS}]+")
 _PIECE = re.compile(f"[{_LETTERS}]+|[{_POINTS}]+|\n")
+_LAST = ord("ž") + 1
+_ODD = np.array([c != 10 and not _PLAIN.fullmatch(chr(c)) for c in range(_LAST + 1)])  # the last entry stands for all above
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -57,6 +61,7 @@ caches.owner("packing", _forget)
 
 def _tokenizer(path: str):
     if path not in _loaded:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one text at a time: a pool of threads would only wait
         from tokenizers import Tokenizer
 
         _forget()
@@ -74,26 +79,54 @@ def _ends(tok) -> np.ndarray:
     return _loaded["ends"]
 
 
+def _byte_level() -> str:
+    """The character that stands for each byte in a byte-level vocabulary; a space stays one, to part the pieces."""
+    shown, others = {*range(33, 127), *range(161, 173), *range(174, 256)}, iter(range(256, 512))
+    return "".join([chr(b if b in shown else next(others)) for b in range(256)]).replace("Ġ", " ")
+
+
+_BYTE_LEVEL = _byte_level()
+
+
+def _bare(tok):
+    """The tokenizer's own merges alone, for text that is normal, cut at its spaces and spelled by bytes already."""
+    if "bare" not in _loaded:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        _loaded["bare"] = Tokenizer(tok.model)
+        _loaded["bare"].pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return _loaded["bare"]
+
+
+def _piece_ids(tok, pieces: list[str]) -> np.ndarray:
+    """Ids of lower-case pieces, all in one."""
+    spelled = codecs.charmap_decode(" ".join(pieces).encode(), "strict", _BYTE_LEVEL)[0]
+    return np.array(_bare(tok).encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+
+
 def _fill_cache(tok, new: list[bytes]) -> None:
     """Ids of words not seen yet.
 
     Words of Latin letters and plain punctuation are cut into the tokenizer's pre-tokens here (for them, NFC and lower
-    case leave no choice), because far fewer of these are new; new ones go through the tokenizer in one call. All
-    other words go through it one by one.
+    case leave no choice), because far fewer of these are new; new ones go through its merges in one call. All other
+    words go through the whole tokenizer one by one.
     """
-    plain = []
-    for w, s in zip(new, b"\n".join(new).decode().split("\n"), strict=True):
-        if _PLAIN.fullmatch(s):
-            plain.append((w, s))
-        else:
-            _cache[w] = np.array(tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-    if not plain:
+    text = b"\n".join(new).decode()
+    points = np.frombuffer(text.encode("utf-16-le"), "<u2")  # surrogates are odd too
+    odd = np.flatnonzero(_ODD[np.minimum(points, _LAST)])
+    if len(odd):
+        words, apart = text.split("\n"), set(np.searchsorted(np.flatnonzero(points == 10), odd).tolist())
+        for i in apart:
+            _cache[new[i]] = np.array(tok.encode(words[i], add_special_tokens=False).ids, "<u4").tobytes()
+        new = [w for i, w in enumerate(new) if i not in apart]
+        text = "\n".join([s for i, s in enumerate(words) if i not in apart])
+    if not new:
         return
-    cut = _PIECE.findall("\n".join([s for _, s in plain]).lower())
+    cut = _PIECE.findall(text.lower())
     unknown = _recall(set(cut), _pieces, _old_pieces)
     if unknown:
         unknown = list(unknown)
-        ids = np.array(tok.encode(" ".join(unknown), add_special_tokens=False).ids, "<u4")
+        ids = _piece_ids(tok, unknown)
         last = np.flatnonzero(_ends(tok)[ids])
         if len(last) == len(unknown):
             raw = ids.tobytes()
@@ -103,7 +136,7 @@ def _fill_cache(tok, new: list[bytes]) -> None:
             _pieces.update((p, np.array(tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes()) for p in unknown)
     # no id has a high byte, so four of them mark the ends of words
     _pieces["\n"] = b"\xff\xff\xff\xff"
-    _cache.update(zip([w for w, _ in plain], b"".join(map(_pieces.__getitem__, cut)).split(b"\xff\xff\xff\xff"), strict=True))
+    _cache.update(zip(new, b"".join(map(_pieces.__getitem__, cut)).split(b"\xff\xff\xff\xff"), strict=True))
 
 
 def _recall(wanted: set, young: dict, old: dict) -> set:
@@ -113,11 +146,11 @@ def _recall(wanted: set, young: dict, old: dict) -> set:
         old.update(young)
         young.clear()
     wanted = wanted.difference(young)
-    known = wanted.intersection(old)
-    young.update((k, old[k]) for k in known)
-    wanted -= known
-    wanted.discard("\n")
-    return wanted
+    unknown = wanted.difference(old)  # an intersection would walk through all of old
+    known = wanted - unknown
+    young.update(zip(known, map(old.__getitem__, known), strict=True))
+    unknown.discard("\n")
+    return unknown
 
 
 def batch_ids(texts: list[bytes], tok) -> Iterator[bytes]:
