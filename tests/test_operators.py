@@ -79,6 +79,24 @@ def test_scalars(spark):
     assert one(spark, offsets.default_offset(F.lit(10**16))) is None
 
 
+def test_live_cursor_rounds_the_clock_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from tidelog.plans import catalog
+
+    times = [f"{day} 00:00:{edge}" for day in ("2024-01-01", "2024-10-09", "2024-10-10", "1960-01-01", "1970-01-01", "9999-12-31") for edge in ("19.999499", "19.999500", "19.999999", "20.000000", "20.000499", "20.000500")]
+    times += ["1969-12-31 23:59:59.999499", "1969-12-31 23:59:59.999500", "1969-12-31 23:59:59.999501", None]
+    rows = [(n if n % 5 else None, t) for n, t in enumerate(times * 2)]
+    spark.createDataFrame(rows, "event_id long, ts string").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = [tuple(r) for r in catalog.live_cursor_bucket(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(db.sql(catalog.ORACLE_SQL["live_cursor_bucket"]).fetchall(), key=str)
+    ms = lambda t: one(spark, scalars.epoch_ms(F.lit(t).cast("timestamp")))
+    assert [ms(f"1970-01-01 00:00:00.{us}") for us in ("000499", "000500", "001499", "001500")] == [0, 1, 1, 2]
+    assert [ms(f"1969-12-31 23:59:59.{us}") for us in ("999501", "999500", "998501", "998500")] == [0, -1, -1, -2] and ms(None) is None
+
+
 def test_change_sequence(spark):
     b = lambda *a, **k: one(spark, changes.change(*a, **k))
     assert b(F.lit("user"), F.lit("u1"), "insert", F.lit('{"id":"u1"}'), txid=F.lit("t1")) == '{"type":"user","key":"u1","value":{"id":"u1"},"headers":{"txid":"t1","operation":"insert"}}'

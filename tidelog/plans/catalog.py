@@ -475,7 +475,7 @@ def jsonl_tail_guard(spark, d):
 
 @query("""SELECT event_id, CAST(floor((epoch_ms(ts)-1728432000000)/20000) AS BIGINT) AS cursor, CASE WHEN event_id%1000>=floor((epoch_ms(ts)-1728432000000)/20000) THEN CAST(event_id%1000+90 AS BIGINT) ELSE CAST(floor((epoch_ms(ts)-1728432000000)/20000) AS BIGINT) END AS next_cursor FROM events""")
 def live_cursor_bucket(spark, d):
-    now = F.unix_millis(F.col("ts").cast("timestamp"))
+    now = scalars.epoch_ms(F.col("ts").cast("timestamp"))
     return fx.table(spark, d, "events").select("event_id", offsets.live_cursor(now).alias("cursor"), offsets.live_cursor(now, F.col("event_id") % 1000, F.lit(0.5)).alias("next_cursor"))
 
 
